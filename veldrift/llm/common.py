@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +22,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/veldrift/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more, and let Spark clean the shuffles that made them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have yet, in any letter case."""
     taken = {c.lower() for c in df.columns}
@@ -114,10 +123,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 __all__ = [
     "WORD",
-    "StorageLevel",
     "ascii_lower",
     "byte_chunks",
     "connected_components",
+    "discard",
     "fresh",
     "scratch_path",
     "stored",
