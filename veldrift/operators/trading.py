@@ -57,7 +57,7 @@ def backtest(d: DataFrame, key: list[str], cost: float = 0.0, slippage: float =
     s = W.partitionBy(*key).orderBy("timestamp")
     cum = s.rowsBetween(W.unboundedPreceding, 0)
     e = equity_curve(d, key, cost, slippage, capital)
-    e = e.withColumns({"_r": F.col("equity") / F.lag("equity").over(s) - 1, "_prev": F.lag("close").over(s), "_peak": F.max("equity").over(cum)})
+    e = e.withColumns({"_r": F.try_divide(F.col("equity"), F.lag("equity").over(s)) - 1, "_prev": F.lag("close").over(s), "_peak": F.max("equity").over(cum)})
     e = e.withColumns({"_dd": F.col("equity") / F.col("_peak") - 1, "_acts": (F.col("signal") != "HOLD") & F.col("_prev").isNotNull()})
     m = e.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.max_by("equity", "timestamp").alias("final_equity"), F.min("_dd").alias("max_drawdown"),

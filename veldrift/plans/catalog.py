@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features
+from . import features, markets
 
-MODULES = (features,)
+MODULES = (features, markets)
 
 
 def queries() -> dict:
