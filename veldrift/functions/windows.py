@@ -85,11 +85,10 @@ def kurtosis(x: str, w: WindowSpec, m: int) -> Column:
     return F.when(n >= max(m, 4), g)
 
 
-def rsi(x: str, n: int, m: int) -> Column:
-    """100 - 100 / (1 + G / (L + 1e-9)), G and L the mean gain and loss; the first difference counts as 0."""
-    d = F.col(x) - lag(x)
-    w = trailing(n)
-    rows = F.count(F.lit(1)).over(w)
-    gain = F.avg(F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)))
-    loss = F.avg(F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0)))
-    return F.when(rows >= m, 100 - 100 / (1 + gain.over(w) / (loss.over(w) + 1e-9)))
+def corr(x: str, y: str, n: int, m: int, key: str = KEY, time: str = TIME) -> Column:
+    """Correlation over n rows if m have both; null where one of the columns is constant."""
+    both = _all_set(x, y)
+    a, b, at = F.when(both, F.col(x)), F.when(both, F.col(y)), trailing(n, key, time)
+    r = F.try_divide(F.covar_pop(a, b).over(at), F.stddev_pop(a).over(at) * F.stddev_pop(b).over(at))
+    flat = (F.min(a).over(at) == F.max(a).over(at)) | (F.min(b).over(at) == F.max(b).over(at))
+    return F.when((F.count(a).over(at) >= m) & ~flat, r)

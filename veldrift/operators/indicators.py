@@ -170,10 +170,10 @@ def add_microstructure(d: DataFrame) -> DataFrame:
         "amihud_illiquidity": _zero(minp(20, 5, F.avg, "_illiq")),
         "price_impact": _zero(minp(20, 5, F.covar_samp, "_abs", "volume") / (minp(20, 5, F.var_samp, "volume") + 1e-9)),
         "vwap_dev_5d": (c - F.col("_v5")) / (F.col("_v5") + 1e-9), "vwap_dev_20d": (c - F.col("_v20")) / (F.col("_v20") + 1e-9),
-        "vol_price_corr": _zero(minp(20, 5, F.corr, "_r", "log_volume")),
+        "vol_price_corr": _zero(w.corr("_r", "log_volume", 20, 5)),
         "rvol_ratio_20d_63d": _zero(minp(20, 5, F.stddev_samp, "_r") / (minp(63, 10, F.stddev_samp, "_r") + 1e-9), 1.0),
         "sq_ret_mean": _zero(minp(60, 5, F.avg, "_sq")), "abs_ret_mean": _zero(minp(60, 5, F.avg, "_abs")),
-        "vol_clustering": _zero(minp(60, 5, F.corr, "_sq", "_sq1")),
+        "vol_clustering": _zero(w.corr("_sq", "_sq1", 60, 5)),
     })
     return _tidy(d)
 
@@ -187,11 +187,10 @@ def add_moments(d: DataFrame) -> DataFrame:
         cols |= {f"skew_ret_{n}d": _zero(w.skew("_r", at, m)), f"kurt_ret_{n}d": _zero(w.kurtosis("_r", at, m))}
     for n in (5, 10, 20, 60):
         at, m = trailing(n), max(n // 2, 3)
-        flat = F.min("_r").over(at) == F.max("_r").over(at)
         cols |= {
             f"ret_mean_{n}d": F.avg("_r").over(at), f"ret_std_{n}d": _zero(F.stddev_samp("_r").over(at)),
             f"ret_skew_{n}d": _zero(w.skew("_r", at, m)), f"ret_kurt_{n}d": _zero(w.kurtosis("_r", at, m)),
-            f"ret_r2_{n}d": F.when((F.count("_r").over(at) < 3) | flat, 0.0).otherwise(F.pow(F.corr("_r", "_n").over(at), 2)),
+            f"ret_r2_{n}d": _zero(F.pow(w.corr("_r", "_n", n, 3), F.lit(2.0))),
             f"ret_info_ratio_{n}d": _zero(F.avg("_r").over(at) / (F.stddev_samp("_r").over(at) + 1e-9)),
         }
     return _tidy(d.withColumns(cols))

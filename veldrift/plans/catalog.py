@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, markets
+from . import features, markets, statistics
 
-MODULES = (features, markets)
+MODULES = (features, markets, statistics)
 
 
 def queries() -> dict:

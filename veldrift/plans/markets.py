@@ -181,7 +181,7 @@ R.table(
 )
 R.table(
     "bankroll", lambda s, d: staking.trajectory(rets(s, d), 0.01, "bet_id", "league").withColumn("log_bankroll", F.log("bankroll")), RET + """, g AS (SELECT *, 1000 * exp(sum(ln(1 + 0.01 * ret)) OVER (PARTITION BY league ORDER BY bet_id ROWS UNBOUNDED PRECEDING)) AS bankroll FROM rets)""",
-    "(SELECT *, ln(bankroll) AS log_bankroll, 1 - bankroll / greatest(1000, max(bankroll) OVER (PARTITION BY league ORDER BY bet_id ROWS UNBOUNDED PRECEDING)) AS drawdown FROM g)", {"bet_id": None, "log_bankroll": 6, "drawdown": 6},
+    "(SELECT *, ln(bankroll) AS log_bankroll, 1 - bankroll / greatest(1000, max(bankroll) OVER (PARTITION BY league ORDER BY bet_id ROWS UNBOUNDED PRECEDING)) AS drawdown FROM g)", {"bet_id": None, "log_bankroll": 6, "drawdown": 8},
 )
 R.table(
     "growth_and_drawdown", lambda s, d: staking.growth_and_drawdown(rets(s, d), FRACTIONS, "bet_id", "league"),
