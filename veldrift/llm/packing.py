@@ -17,6 +17,7 @@ gives no rows.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,46 +35,61 @@ CAPACITY = 4096
 END_ID = 1
 SALTS = 64
 #: Texts of these characters only are cut at spaces and their words looked up; others go to the tokenizer whole.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-#: Words in a worker's table, after which it starts anew.
-TABLE = 300_000
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
+#: Fixed value: the tokenizer's own pieces of a lower-cased word, for the characters of ``PLAIN``.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-\u017f]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-\u017f0-9²³¹¼½¾]+")
+#: Entries of a worker's tables, after which they start anew.
+WORDS, PIECES = 400_000, 600_000
+
+
+def byte_letters() -> dict[int, str]:
+    """Latin-1 characters to the byte-level model's letters: printable ones stay, the others follow from 256 on."""
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: chr(256 + i) for i, b in enumerate(odd)}
+
+
+class PieceTable(dict):
+    """A word's piece to the bytes of its ids."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
+            self.clear()
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        self[piece] = data = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
+        return data
 
 
 class WordTable(dict):
-    """Word to the bytes of its ids. Words of plain text never share tokens, so a text is its words' ids in order."""
+    """A word to the bytes of its ids. In plain text tokens never reach over a space, so a text is its words' ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = PieceTable(self.tokenizer.model)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if not new:
-            return
-        e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        of = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-        ends = np.searchsorted(of, np.arange(len(new)), side="right")
-        data = ids.tobytes()
-        start = 0
-        for w, end in zip(new, ends.tolist(), strict=True):
-            self[w] = data[4 * start : 4 * end]
-            start = end
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = data = b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
+        return data
 
     def encode(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
         if "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            if len(self) > TABLE:
-                self.clear()
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+@functools.cache
+def word_table(path: str) -> WordTable:
+    """One table for all tasks of a Python worker."""
+    return WordTable(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -81,7 +97,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(path)
+        table = word_table(path)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
