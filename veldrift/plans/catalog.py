@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, markets, statistics
+from . import features, inputs, markets, models, search, statistics
 
-MODULES = (features, markets, statistics)
+MODULES = (features, markets, statistics, search, models, inputs)
 
 
 def queries() -> dict:
