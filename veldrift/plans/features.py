@@ -32,7 +32,7 @@ R.table("bars", bars, BARS, "bars", KEY | spec("open:- high:- low:- close:- volu
 
 R.table(
     "base_indicators", base, BASE, "base",
-    KEY | spec("close:- return momentum_10 momentum_21 momentum_63 lag_1 lag_5 lag_20 volatility volatility_21 rsi:5 hl_range oc_range ma_50:3 ma_200:3 log_volume vwap:3 vwap_ratio day_of_week:- quarter:-"),
+    KEY | spec("close:- return momentum_10 momentum_21 momentum_63 lag_1 lag_5 lag_20 volatility volatility_21 rsi:5 hl_range oc_range ma_50:3 ma_200:3 log_volume vwap:7 vwap_ratio day_of_week:- quarter:-"),
 )
 
 R.table(
@@ -182,8 +182,8 @@ def _entropy_sql(x: str, n: int) -> str:
 
 
 _E = [_entropy_sql(x, n) for x in ("r", "log_volume") for n in (20, 60)]
-ENTROPY = BASE + f', e0 AS (SELECT *, coalesce("return", 0) AS r FROM base), e1 AS (SELECT *, {", ".join(a for a, _ in _E)} FROM e0 {over(20, 60)}), entropy AS (SELECT *, {", ".join(b for _, b in _E)} FROM e1)'
-R.table("entropy_features", lambda s, d: ind.add_entropy(base(s, d)), ENTROPY, "entropy", KEY | spec("ret_entropy_20d ret_entropy_60d vol_entropy_20d vol_entropy_60d"))
+ENTROPY = BASE + f', e0 AS (SELECT * REPLACE (round(log_volume, 9) AS log_volume), coalesce("return", 0) AS r FROM base), e1 AS (SELECT *, {", ".join(a for a, _ in _E)} FROM e0 {over(20, 60)}), entropy AS (SELECT *, {", ".join(b for _, b in _E)} FROM e1)'
+R.table("entropy_features", lambda s, d: ind.add_entropy(base(s, d).withColumn("log_volume", F.round("log_volume", 9))), ENTROPY, "entropy", KEY | spec("ret_entropy_20d ret_entropy_60d vol_entropy_20d vol_entropy_60d"))
 
 R.rows_only("hurst_features", lambda s, d: ind.add_hurst(base(s, d)).select("ticker", "timestamp", F.round("hurst_20d", 6).alias("hurst_20d"), F.round("hurst_60d", 6).alias("hurst_60d")))
 

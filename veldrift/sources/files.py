@@ -92,7 +92,8 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files: ts (UTC), title, body, source."""
     schema = "title string, description string, pubDate string, link string"
     df = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    ts = F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))
+    date = F.regexp_replace("pubDate", "^[A-Za-z]+, *", "")
+    ts = F.coalesce(*[F.try_to_timestamp(date, F.lit(f"d MMM yyyy HH:mm:ss {z}")) for z in ("xx", "z")], F.try_to_timestamp("pubDate"))
     return df.select(ts.alias("ts"), "title", F.regexp_replace(F.coalesce("description", F.lit("")), "<[^>]*>", "").alias("body"), F.coalesce(F.parse_url("link", F.lit("HOST")), F.lit("")).alias("source"))
 
 
