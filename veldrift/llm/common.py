@@ -76,6 +76,19 @@ def byte_chunks(texts: Iterable[bytes], limit: int = 4_000_000) -> Iterator[list
         yield chunk
 
 
+def rows_with(rows: DataFrame, counts: DataFrame, on: list[str], n: str = "n", share: int = 1000) -> DataFrame:
+    """``rows`` whose key is in ``counts`` (key and number of rows): a left semi join that no hot key can slow.
+
+    Keys of over 1 / ``share`` of all counted rows, fewer than ``share``, are sent to every task; the others are shuffled.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = stored(counts.filter(F.col(n) > total / share).select(*on), "hot")
+    if hot.isEmpty():
+        return rows.join(counts.select(*on), on, "left_semi")
+    usual = rows.join(F.broadcast(hot), on, "left_anti").join(counts.filter(F.col(n) <= total / share).select(*on), on, "left_semi")
+    return rows.join(F.broadcast(hot), on, "left_semi").unionByName(usual)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of undirected ``edges`` (a, b; both long), as (node, component).
 
@@ -128,6 +141,7 @@ __all__ = [
     "connected_components",
     "discard",
     "fresh",
+    "rows_with",
     "scratch_path",
     "stored",
     "word_count",

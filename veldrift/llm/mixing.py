@@ -5,7 +5,9 @@ shared again by weight. Within a source every document is expected ``target / so
 these expected copies, plus one random offset, crosses integers, and a document is taken once for each crossing.
 Documents come in order of size, so the words taken keep close to the target.
 
-The prefix sum is in three levels (source and size class, size, then a salt of doc_id), so no task holds a source.
+The prefix sum is in three levels (source and size class, size, then a salt of doc_id), so no task holds a source: a
+class has at most ``CLASS * (SALTS + 1)`` counts, whatever the input, and a source as many classes as its longest document
+needs.
 
 Defined results: null text has size 0; null source is a source, last in order; a source of size 0 has target 0; an empty
 table gives no rows; rows that repeat are sampled one by one.

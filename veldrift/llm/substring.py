@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, scratch_path, stored
+from .common import discard, rows_with, scratch_path, stored
 
 WINDOW = 35
 PREFIX = 8
@@ -235,13 +235,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     paths = [scratch_path(spark, name) for name in ("anchors", "often", "asked")]
     kinds = "doc long, sha long, place long, prefix long, run long"
     rows = stored(docs.mapInArrow(_anchor_rows(window, prefix), kinds), "", paths[0])
-    often = stored(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("prefix"), "", paths[1])
-    rows = stored(rows.join(often, "prefix", "left_semi"), "shared")
+    often = stored(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "", paths[1])
+    rows = stored(rows_with(rows, often, ["prefix"]), "shared")
     discard(spark, *paths[:2])
     runs = stored(
         rows.groupBy("prefix", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sha", "place")).alias("one")), "runs"
     )
-    again = rows.join(runs.filter("n > 1").select("prefix", "run"), ["prefix", "run"], "left_semi")
+    again = rows_with(rows, runs.filter("n > 1"), ["prefix", "run"])
     again = again.select("doc", "sha", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"))
     # Prefixes with a run that occurs once, and others to compare it with.
     open_ = runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least")).filter("runs > 1 and least = 1")
