@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, inputs, markets, models, search, statistics
+from . import features, inputs, markets, models, relational, search, statistics
 
-MODULES = (features, markets, statistics, search, models, inputs)
+MODULES = (features, markets, statistics, search, models, inputs, relational)
 
 
 def queries() -> dict:
