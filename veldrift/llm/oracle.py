@@ -46,6 +46,25 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+OP10 = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS t FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), hit AS (
+  SELECT r, i FROM win JOIN (SELECT t FROM win GROUP BY t HAVING count(*) > 1) USING (t)
+), word AS (
+  SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+), seen AS (
+  SELECT word.r, p, x, coalesce(max(hit.i) OVER (PARTITION BY word.r ORDER BY p ROWS 34 PRECEDING), 0) > 0 AS gone
+  FROM word LEFT JOIN hit ON hit.r = word.r AND hit.i = p
+), kept AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (NOT gone) AS t FROM seen GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4}
+    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op10_substring_dedup": OP10}
