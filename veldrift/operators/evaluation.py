@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running_sum
 from .profiling import average_ranks
 
 
@@ -131,9 +132,8 @@ def order_statistic(scores: DataFrame, alpha: float) -> DataFrame:
     n = scores.agg(F.count(F.lit(1)).alias("_n"))
     # Scores are counted by value, so only different values are ordered.
     by = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, 0))
     k = F.least(F.ceil((F.col("_n") + 1) * (1 - alpha)), F.col("_n"))
-    return by.withColumn("_at", upto).crossJoin(F.broadcast(n)).filter(F.col("_at") >= k).agg(F.min("score").alias("qhat"))
+    return running_sum(by, "score", "c", "_at").crossJoin(F.broadcast(n)).filter(F.col("_at") >= k).agg(F.min("score").alias("qhat"))
 
 
 def aps_score(probs: Column, y: Column) -> Column:

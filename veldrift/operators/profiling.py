@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions.prefix import running_sum
+
 
 def numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
@@ -163,8 +165,8 @@ def top_values(df: DataFrame, x: str, k: int) -> DataFrame:
 def average_ranks(df: DataFrame, x: str, name: str = "rank") -> DataFrame:
     """Ranks with ties at their mean: counts by value are numbered, then joined; rows never meet in one task."""
     counts = df.groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.orderBy(x).rowsBetween(W.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(upto), F.lit(0)) + (F.col("_n") + 1) / 2).withColumnRenamed("_n", "_ties")
+    upto = running_sum(counts, x, "_n", "_upto")
+    ranks = upto.select(x, F.col("_n").alias("_ties"), (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, x)
 
 
@@ -328,10 +330,10 @@ def mean_shift(df: DataFrame, names: list[str], reference: Column, current: Colu
 def ks(df: DataFrame, x: str, reference: Column, current: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and its asymptotic p-value. Counts are by value, then cumulated."""
     c = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.sum(reference.cast("long")).alias("r"), F.sum(current.cast("long")).alias("c"))
-    upto = W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(F.lit(1))
-    gap = F.abs(F.sum("r").over(upto) / F.sum("r").over(every) - F.sum("c").over(upto) / F.sum("c").over(every))
-    s = c.select(gap.alias("g"), "r", "c").agg(F.max("g").alias("statistic"), F.sum("r").alias("n"), F.sum("c").alias("m"))
+    c = running_sum(running_sum(c, "x", "r", "_r"), "x", "c", "_c")
+    totals = c.agg(F.sum("r").alias("n"), F.sum("c").alias("m"))
+    gap = F.abs(F.col("_r") / F.col("n") - F.col("_c") / F.col("m"))
+    s = c.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
     en = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     lam = (en + 0.12 + 0.11 / en) * F.col("statistic")
     tail = reduce(lambda a, k: a + 2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam), range(1, 8), F.lit(0.0))

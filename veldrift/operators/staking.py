@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running_sum
+
 #: Fraction, least and largest stake, largest exposure.
 FRACTION, LEAST, MOST, EXPOSURE = 0.10, 0.005, 0.03, 0.15
 
@@ -91,8 +93,8 @@ def cvar_drawdown(returns: DataFrame, fraction: float, order: str, alpha: float
 
     A resample draws its i-th bet by a hash of (seed, resample, i); bets are numbered by an order column.
     """
-    n = W.orderBy(order)
-    r = returns.select("ret", (F.row_number().over(n) - 1).alias("i"))
+    one = returns.select("ret", order, F.lit(1).alias("_one"))
+    r = running_sum(one, order, "_one", "_at").select("ret", (F.col("_at") - 1).alias("i"))
     size = r.agg(F.count(F.lit(1)).alias("n"))
     draws = r.select("i").crossJoin(F.broadcast(size)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     draws = draws.withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), "n"))

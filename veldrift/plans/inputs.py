@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prefix
 from ..sources import files
 from ..streaming import events
 from .adapters import bars, table
@@ -15,16 +16,11 @@ from .registry import Registry
 R = Registry()
 
 
-def _scratch(s, name: str) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/veldrift/{name}-{uuid.uuid4().hex}"
-
-
 def round_trip(kind: str):
     """Nations written and read again in a format."""
 
     def query(s, d: str) -> DataFrame:
-        path = f"{_scratch(s, kind)}.{kind}"
+        path = f"{prefix.scratch(s, kind)}.{kind}"
         w = table(s, d, "nation").write
         (w.option("header", "true") if kind == "csv" else w).format(kind).save(path)
         return files.read(s, path, schema="n_nationkey int, n_name string, n_regionkey int")
@@ -46,7 +42,7 @@ R.rows_only("describe_file", lambda s, d: files.describe_file(s, f"{d}/orders.pa
 
 def series(s, d: str) -> DataFrame:
     """Bars written by ticker and read again from one directory."""
-    path = _scratch(s, "series")
+    path = prefix.scratch(s, "series")
     files.write_series(bars(s, d), path)
     return s.read.parquet(path).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("high").alias("high"))
 
@@ -72,7 +68,7 @@ R.table(
 
 def stream(s, d: str) -> DataFrame:
     """Daily bars of the event stream, run to its end."""
-    at = _scratch(s, "stream")
+    at = prefix.scratch(s, "stream")
     out = f"{at}/out"
     source = f"{at}/in"
     table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartition(2).write.parquet(source)

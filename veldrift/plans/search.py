@@ -32,7 +32,7 @@ lens AS (SELECT doc_id AS id, len({TOK.format('text')}) AS dl FROM documents), s
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 bm AS (SELECT query_id, id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / mean))) AS score FROM asked JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (id), stats GROUP BY 1, 2),
-lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 10)"""
+lex AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM bm) WHERE rank <= 10)"""
 R.table("inverted_index", lambda s, d: retrieval.postings(chunks(s, d)), BM25, "post", {"term": None, "id": None, "tf": None})
 R.table("bm25_top10", lambda s, d: retrieval.top(retrieval.bm25(chunks(s, d), questions(s, d)), 10), BM25, "lex", {"query_id": None, "id": None, "score": 6, "rank": None})
 
@@ -48,7 +48,7 @@ def asked_vectors(s, d: str) -> DataFrame:
 
 VEC = """vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, 'label' || label AS source FROM embeddings), vq AS (SELECT id AS query_id, v AS q FROM vecs WHERE id % 50 = 0),
 sims AS (SELECT query_id, id, source, list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))) AS score FROM vecs, vq),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sims) WHERE rank <= 10)"""
+near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM sims) WHERE rank <= 10)"""
 R.table("vector_top10", lambda s, d: retrieval.vector_search(vectors(s, d), asked_vectors(s, d), 10), VEC, "near", {"query_id": None, "id": None, "score": 5, "rank": None})
 
 
@@ -61,7 +61,7 @@ def fused(s, d: str) -> DataFrame:
 
 R.table(
     "rank_fusion", fused,
-    VEC + """, gaps AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY -abs(id - query_id) DESC, id) AS rank FROM vecs, vq) WHERE rank <= 10)""",
+    VEC + """, gaps AS (SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY -abs(id - query_id) DESC, id) AS INTEGER) AS rank FROM vecs, vq) WHERE rank <= 10)""",
     """(SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score,
       CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 'both' WHEN b.id IS NOT NULL THEN 'lexical' ELSE 'vector' END AS match FROM near a FULL JOIN gaps b ON a.query_id = b.query_id AND a.id = b.id)""",
     {"query_id": None, "id": None, "score": 8, "match": None},
@@ -104,7 +104,7 @@ R.rows_only("html_text", lambda s, d: table(s, d, "pages").select("page_id", ret
 STOP = ("that", "this", "with", "from", "para", "como", "nicht", "eine", "dans", "pour")
 R.table(
     "keywords", lambda s, d: retrieval.keywords(docs(s, d)), f"kw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) AS word FROM documents) WHERE word NOT IN {STOP} GROUP BY 1, 2)",
-    "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM kw) WHERE rank <= 12)", {"doc_id": None, "word": None, "n": None, "rank": None},
+    "(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS INTEGER) AS rank FROM kw) WHERE rank <= 12)", {"doc_id": None, "word": None, "n": None, "rank": None},
 )
 R.table(
     "keyword_relevance", lambda s, d: docs(s, d).select("doc_id", retrieval.relevance(F.col("text"), ["the", "and", "der", "que"]).alias("relevance")), "",
@@ -152,7 +152,7 @@ R.table(
     pr AS (SELECT x.id, x.c AS a, y.c AS b, x.d AS da, y.d AS db FROM ch x JOIN ch y ON x.id = y.id AND x.n < y.n),
     sh AS (SELECT pr.id, a, b, da, db, count(v.id) AS shared FROM pr LEFT JOIN (SELECT u.id, u.neighbour, w.id AS other FROM adj u JOIN adj w ON u.neighbour = w.neighbour WHERE u.id IN (SELECT c FROM ch) AND w.id IN (SELECT c FROM ch)) v ON v.id = a AND v.other = b GROUP BY 1, 2, 3, 4, 5),
     sc AS (SELECT sh.id, a, b, shared / (da + db - shared) + CASE WHEN adj.id IS NULL THEN 0 ELSE 0.5 END AS score, shared FROM sh LEFT JOIN adj ON adj.id = a AND adj.neighbour = b)""",
-    "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, a DESC, b DESC) AS rank FROM sc WHERE score > 0) WHERE rank <= 5)", {"id": None, "a": None, "b": None, "score": 6, "shared": None, "rank": None},
+    "(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, a DESC, b DESC) AS INTEGER) AS rank FROM sc WHERE score > 0) WHERE rank <= 5)", {"id": None, "a": None, "b": None, "score": 6, "shared": None, "rank": None},
 )
 
 
