@@ -17,7 +17,6 @@ gives no rows.
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,8 +37,8 @@ SALTS = 64
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
 #: Fixed value: the tokenizer's own pieces of a lower-cased word, for the characters of ``PLAIN``.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-\u017f]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-\u017f0-9²³¹¼½¾]+")
-#: Entries of a worker's tables, after which they start anew.
-WORDS, PIECES = 400_000, 600_000
+#: Entries of a task's tables, after which they start anew. A task's tables go with it.
+WORDS, PIECES = 150_000, 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -86,18 +85,12 @@ class WordTable(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@functools.cache
-def word_table(path: str) -> WordTable:
-    """One table for all tasks of a Python worker."""
-    return WordTable(path)
-
-
 def _pieces(path: str, capacity: int, end_id: int):
     """mapInArrow: (doc_id, text) to pieces."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(path)
+        table = WordTable(path)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
