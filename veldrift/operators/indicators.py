@@ -290,7 +290,7 @@ def terciles(d: DataFrame, x: str, train: Column, key: str = "ticker") -> DataFr
     """Tercile (low, mid, high) of ``x`` by cut points of the training rows of each key."""
     cuts = d.filter(train).groupBy(key).agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cut"))
     label = F.when(F.col(x) <= F.col("_cut")[0], "low").when(F.col(x) <= F.col("_cut")[1], "mid").when(F.col(x).isNotNull(), "high")
-    return d.join(F.broadcast(cuts), key, "left").withColumn(f"{x}_regime", label).drop("_cut")
+    return d.join(cuts, key, "left").withColumn(f"{x}_regime", label).drop("_cut")
 
 
 def add_drawdown(d: DataFrame, x: str = "close") -> DataFrame:

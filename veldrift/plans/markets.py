@@ -117,7 +117,7 @@ def out_of_sample(s, d: str) -> DataFrame:
     n = F.row_number().over(W.partitionBy("ticker").orderBy("timestamp"))
     p = probs(s, d).withColumn("_at", n / F.count(F.lit(1)).over(W.partitionBy("ticker")))
     best = trading.best_threshold(trading.sweep(p.filter("_at > 0.7 and _at <= 0.8"), GRID)).select("ticker", "threshold")
-    test = p.filter("_at > 0.8").join(F.broadcast(best), "ticker").withColumn("signal", trading.signal(F.col("p"), F.col("threshold")))
+    test = p.filter("_at > 0.8").join(best, "ticker").withColumn("signal", trading.signal(F.col("p"), F.col("threshold")))
     return trading.backtest(test, ["ticker", "threshold"], 0.001, 0.0005)
 
 
