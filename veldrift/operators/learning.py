@@ -186,21 +186,48 @@ def majority(d: DataFrame, y: str = "label") -> DataFrame:
     return d.agg(F.greatest(F.avg(y), 1 - F.avg(y)).alias("majority"))
 
 
-def smote(d: DataFrame, k: int = 5, y: str = "label", names: tuple[str, ...] = ("return", "rsi", "log_volume"), seed: int = 42) -> DataFrame:
-    """Rows of the minority class by interpolation to one of the k nearest, until the classes are even.
+def _neighbours(a: DataFrame, b: DataFrame, names: tuple[str, ...], k: int) -> DataFrame:
+    """The k nearest rows of b (j, names, label) for each row of a (i, names), by squared distance."""
+    other = b.toDF("j", *[f"{c}_b" for c in names], "label_b")
+    gap = sum((F.pow(F.col(c) - F.col(f"{c}_b"), F.lit(2)) for c in names), F.lit(0.0))
+    near = a.join(other, F.col("i") != F.col("j")).withColumn("gap", gap)
+    return near.withColumn("n", F.row_number().over(W.partitionBy("i").orderBy("gap", "j"))).filter(F.col("n") <= k)
+
+
+def resample(d: DataFrame, method: str, **kw) -> DataFrame:
+    """Rows or weights against imbalance: balanced, smote, adasyn or focal."""
+    if method == "balanced":
+        return ev.class_weights(d.drop("weight"), kw.get("y", "label"))
+    if method == "focal":
+        return ev.focal_weights(d.drop("weight"), y=kw.get("y", "label"))
+    if method not in ("smote", "adasyn"):
+        raise ValueError(f"unknown method {method!r}")
+    return smote(d, adaptive=method == "adasyn", **kw)
 
-    The neighbours come from a self-join of the minority class; it is for classes that a join can take whole.
+
+def smote(d: DataFrame, k: int = 5, y: str = "label", names: tuple[str, ...] = ("return", "rsi", "log_volume"), seed: int = 42, adaptive: bool = False) -> DataFrame:
+    """New rows of the minority class, by interpolation to one of the k nearest of it, until the classes are even.
+
+    ``adaptive``: rows with more of the other class among their k nearest get more new ones. Neighbours come from a join
+    of the classes; it is for classes that a join can take whole.
     """
     counts = {r[y]: r["count"] for r in d.groupBy(y).count().collect()}
     few = min(counts, key=lambda c: (counts[c], c))
     need = max(counts.values()) - counts[few]
-    a = d.filter(F.col(y) == few).select(F.row_number().over(W.orderBy("timestamp", "ticker")).alias("i"), *names)
-    b = a.toDF("j", *[f"{c}_b" for c in names])
-    gap = sum((F.pow(F.col(c) - F.col(f"{c}_b"), F.lit(2)) for c in names), F.lit(0.0))
-    near = a.join(b, F.col("i") != F.col("j")).withColumn("gap", gap).withColumn("n", F.row_number().over(W.partitionBy("i").orderBy("gap", "j"))).filter(F.col("n") <= k)
-    share = F.pmod(F.xxhash64(F.lit(seed), "i", "j"), F.lit(10_000)) / 10_000
-    new = near.withColumn("_o", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "j", "i")))).filter(F.col("_o") <= need)
-    return new.select(F.lit(few).alias(y), *[(F.col(c) + share * (F.col(f"{c}_b") - F.col(c))).alias(c) for c in names])
+    every = d.select(F.row_number().over(W.orderBy("timestamp", "ticker")).alias("i"), *names, F.col(y).alias("label"))
+    own = every.filter(F.col("label") == few)
+    near = _neighbours(own.drop("label"), own, names, k)
+    if adaptive:
+        hard = _neighbours(own.drop("label"), every, names, k).groupBy("i").agg(F.avg((F.col("label_b") != few).cast("double")).alias("hard"))
+        near = near.join(hard, "i").filter("hard > 0")
+    else:
+        near = near.withColumn("hard", F.lit(1.0))
+    # Rows are taken in turns: a row's t-th turn comes at (t - 1/2) / its share.
+    turns = near.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(max(1, -(-need // max(counts[few], 1)) * 2)))))
+    key = (F.col("turn") + (F.col("n") - 1) / k) / F.col("hard")
+    step = F.pmod(F.xxhash64(F.lit(seed), "i", "j", "turn"), F.lit(10_000)) / 10_000
+    new = turns.withColumn("_o", F.row_number().over(W.orderBy(key, F.xxhash64(F.lit(seed), "j", "i"), "i", "j", "turn"))).filter(F.col("_o") <= need)
+    return new.select(F.lit(few).alias(y), *[(F.col(c) + step * (F.col(f"{c}_b") - F.col(c))).alias(c) for c in names])
 
 
 def search(d: DataFrame, trials: list[dict], kind: str = "forest", folds: int = 2) -> DataFrame:
