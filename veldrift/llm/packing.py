@@ -33,12 +33,12 @@ from .common import stored
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
-#: Texts of these characters only are cut at spaces and their words looked up; others go to the tokenizer whole.
+#: Texts of these characters only are cut into the tokenizer's pieces here; others go to the tokenizer whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
-#: Fixed value: the tokenizer's own pieces of a lower-cased word, for the characters of ``PLAIN``.
+#: Fixed value: the tokenizer's own pieces of a lower-cased text, for the characters of ``PLAIN``.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-\u017f]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-\u017f0-9²³¹¼½¾]+")
-#: Entries of a task's tables, after which they start anew. A task's tables go with it.
-WORDS, PIECES = 150_000, 400_000
+#: Pieces in a task's table, after which it starts anew. The table goes with its task.
+PIECES = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,41 +48,27 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceTable(dict):
-    """A word's piece to the bytes of its ids."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters = model, byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        self[piece] = data = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
-        return data
-
-
-class WordTable(dict):
-    """A word to the bytes of its ids. In plain text tokens never reach over a space, so a text is its words' ids."""
+    """A piece of text to the bytes of its ids; the model turns pieces into ids one by one, so a text is its pieces' ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = PieceTable(self.tokenizer.model)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
             self.clear()
-        self[word] = data = b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        self[piece] = data = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
         return data
 
     def encode(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
         if "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, PIECE.findall(text.lower())))
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -90,7 +76,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(path)
+        table = PieceTable(path)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
