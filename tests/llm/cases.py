@@ -3,6 +3,7 @@
 import random
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies string, digest int, verdict string, row int"
 
@@ -47,7 +48,7 @@ def documents(seed=0, n=160):
 def frame(spark, rows=None):
     return spark.createDataFrame(documents() if rows is None else rows, SCHEMA).repartition(3).select(
         "copies", "text", "doc_id", "lang", "source", "n_chars", "digest", "verdict", "row"
-    )
+    ).withColumn("a.b", F.lit(1))
 
 
 def words(text):

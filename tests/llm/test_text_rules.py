@@ -1,3 +1,4 @@
+import json
 import re
 import zlib
 from collections import Counter
@@ -142,6 +143,12 @@ def test_chat_links_orders_and_validates(spark):
     assert got[(3, 0, 0)][1:3] == ("cycle", None) and len(out) == len(rows) + 1
     assert [r.json for r in out if r.call_id == "b" and r.kind == "result"] == ['{"content":"é","role":"tool","tool_call_id":"b"}']
     assert chat.format_chats(df.limit(0)).count() == 0
+    whole = {(r.conv_id, r.part): json.loads(r.json) for r in chat.conversation_json(chat.format_chats(df, schemas)).collect()}
+    assert len(whole[(1, 0)]) == 8 and whole[(1, 0)][0] == {"role": "user", "content": "add 1 and 2"}
+    ids = [m.get("tool_call", {}).get("id") or m.get("tool_call_id") for m in whole[(1, 0)]]
+    assert ids.index("b") < len(ids) - 1 - ids[::-1].index("b") and ids.index("a") < ids.index("b") < ids.index("c")
+    parts = chat.conversation_json(chat.format_chats(df, schemas), turns=2).collect()
+    assert sum(r.n for r in parts) == len(rows) + 1 and sum(r.conv_id == 1 for r in parts) == 4
 
 
 def test_language_id_on_held_out_documents(spark):

@@ -215,4 +215,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) ->
     """The documents whose verdict is kept, with their columns."""
     model = fit(docs, labels, max_labelled)
     (name,) = fresh(docs, "verdict")
-    return docs.withColumn(name, statistics_udf(model)("text")["kept"]).filter(F.col(name)).select(*docs.columns)
+    return docs.withColumn(name, statistics_udf(model)("text")["kept"]).filter(F.col(name)).select(*[f"`{c}`" for c in docs.columns])
