@@ -211,6 +211,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, split_
     )
 
 
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number for each row, and that column's name."""
+    (name,) = fresh(docs, "row_id")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def keep_one(rows: DataFrame, name: str, groups: DataFrame) -> DataFrame:
+    """``rows`` with one row of each component of ``groups`` (node, component: values of column ``name``); rows that no
+    group names stay. The smallest doc_id stays (nulls last), of several the first by text digest and row."""
+    ids = rows.select(F.col(name).alias("node"), F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("digest"))
+    best = ids.join(groups, "node").groupBy("component").agg(F.min(F.struct("none", "doc_id", "digest", "node")).alias("best"))
+    gone = groups.join(best.select(F.col("best.node").alias("node")), "node", "left_anti").select(F.col("node").alias(name))
+    return rows.join(gone, name, "left_anti")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, split_over: int = 2000) -> DataFrame:
     """One row of each component stays, with its columns: that of the smallest doc_id (null doc_id: least of all).
 
