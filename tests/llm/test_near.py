@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from veldrift.llm import near
+from veldrift.llm import near, simhash
 from veldrift.llm.common import connected_components
 
 from .cases import frame, lower, words
@@ -56,3 +56,13 @@ def test_stage_keeps_one_of_each_group_at_the_limit(spark):
     rows = [(i, t, "en", "s", 0, "c", 1, "v", 1) for i, t in enumerate(texts)]
     kept = corpus_pipeline.near_copies(spark, frame(spark, rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components_of(texts)))
+
+
+def test_null_and_shared_ids_join_no_groups(spark):
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    rows = [(None if i < 8 else 7, t, "en", "s", 0, "c", 1, "v", 1) for i, t in enumerate([*texts, texts[0]])]
+    for drop in (near.drop_near_copies, simhash.drop_near_duplicates):
+        kept = drop(frame(spark, rows)).collect()
+        assert sorted(r.text for r in kept) == sorted(texts)
+        assert sorted((r.doc_id for r in kept), key=str) == [7] * 5 + [None] * 7

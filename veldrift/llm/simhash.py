@@ -227,23 +227,13 @@ def keep_one(rows: DataFrame, name: str, groups: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, split_over: int = 2000) -> DataFrame:
-    """One row of each component stays, with its columns: that of the smallest doc_id (null doc_id: least of all).
+    """One row of each component stays, with its columns: that of the smallest doc_id, nulls last.
 
-    Of several rows with that doc_id the first by fingerprint and text digest stays; of rows alike in these too, one.
+    Components are of fingerprints alone: rows are told apart by themselves, so a null or shared doc_id joins none.
     """
-    marks = near_duplicates(docs.select("doc_id", "text"), shingle, max_bits, split_over)
-    stay = marks.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    (key,) = fresh(docs, "kept_id")
-    stay = stay.select(F.col("doc_id").alias(key))
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(F.col(key)), "left_semi")
-    twice = stored(out.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)), "twice")
-    if twice.isEmpty():
-        return out
-    same = out["doc_id"].eqNullSafe(F.col(key))
-    again = out.join(twice, same, "left_semi")
-    order, row = fresh(docs, "order", "row")
-    one = (
-        again.select(F.col("doc_id").alias(key), F.xxhash64("text").alias(order), F.struct(*[again[f"`{c}`"] for c in docs.columns]).alias(row))
-        .groupBy(key).agg(F.min_by(row, order).alias(row)).select(f"{row}.*")
-    )
-    return out.join(twice, same, "left_anti").union(one)
+    rows, name = with_rows(docs)
+    prints = stored(rows.select(F.col(name).alias("node"), fingerprint_udf(shingle)("text").alias("fp")), "prints")
+    by_print = connected_components(links(prints.select("fp").distinct(), max_bits, split_over).distinct())
+    groups = prints.join(by_print.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    groups = stored(groups.select("node", F.coalesce("component", "fp").alias("component")), "groups")
+    return keep_one(rows, name, groups).select(*[F.col(f"`{c}`") for c in docs.columns])
