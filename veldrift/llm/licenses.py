@@ -1,7 +1,7 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
 A rule is a regex over the text's words (lower-cased A-Z, joined by one space), with a keyword, a label and a priority.
-A text is searched for the keywords first, and only for the rules of those it holds. Each match is an interval of words;
+A text is searched for the keywords first, and only for the rules whose keyword and statement's literal it holds. Each match is an interval of words;
 one that lies inside another of the same or a higher priority is suppressed, and of equal intervals the later rule's stays:
 rules go from general to specific names. No row leaves its partition.
 
@@ -120,18 +120,18 @@ NAMES = [
     ("cc", "cc by nc nd", "cc-by-nc-nd"),
 ]
 
-#: How a license is stated around its name; priority and confidence of such a statement.
+#: How a license is stated around its name; priority and confidence of such a statement, and what each holds.
 STATEMENTS = [
-    (3, 1.0, r"spdx license identifier (?:{})(?: or later| only)?"),
-    (2, 0.9, r"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of the )?(?:{})(?: (?:public )?licen[cs]e)?(?: (?:version |v)?[0-9](?: [0-9])?)?(?: international)?"),
-    (1, 0.7, r"(?:{})(?: public)? licen[cs]e(?: (?:version |v)?[0-9](?: [0-9])?)?"),
+    (3, 1.0, "spdx license identifier ", r"spdx license identifier (?:{})(?: or later| only)?"),
+    (2, 0.9, " under ", r"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of the )?(?:{})(?: (?:public )?licen[cs]e)?(?: (?:version |v)?[0-9](?: [0-9])?)?(?: international)?"),
+    (1, 0.7, " licen", r"(?:{})(?: public)? licen[cs]e(?: (?:version |v)?[0-9](?: [0-9])?)?"),
 ]
 
 #: Rules that name no license by a statement: keyword, regex, label, priority, confidence.
 CLAUSES = [
     ("permission", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", 2, 0.9),
     ("redistribution", "redistribution and use in source and binary forms with or without modification are permitted", "bsd", 2, 0.8),
-    ("redistributions", "neither the name of .{1,80} nor the names of its contributors", "bsd-3-clause", 2, 0.8),
+    ("contributors", "neither the name of .{1,80} nor the names of its contributors", "bsd-3-clause", 2, 0.8),
     ("advertising", "all advertising materials mentioning features or use of this software", "bsd-4-clause", 2, 0.8),
     ("permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee", "isc", 2, 0.9),
     ("altered", "altered source versions must be plainly marked as such", "zlib", 2, 0.8),
@@ -150,11 +150,12 @@ class Rule:
     label: str
     priority: int
     confidence: float
+    also: str = ""
 
 
 def rules() -> list[Rule]:
     """All rules in order: the statements of every name, then the clauses."""
-    out = [Rule(k, s.format(name), label, p, c) for p, c, s in STATEMENTS for k, name, label in NAMES]
+    out = [Rule(k, s.format(name), label, p, c, also) for p, c, also, s in STATEMENTS for k, name, label in NAMES]
     return out + [Rule(*c) for c in CLAUSES]
 
 
@@ -189,9 +190,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score,
     detections (array of label, start, end, priority, confidence, kept or not)."""
     every = rules()
-    keywords = sorted({r.keyword for r in every})
+    keywords = sorted({k for r in every for k in (r.keyword, r.also)})
     table = F.array(
-        *[F.struct(F.lit(r.keyword).alias("k"), F.lit(_at_words(r.pattern)).alias("re"), F.lit(r.label).alias("label"),
+        *[F.struct(F.lit(r.keyword).alias("k"), F.lit(r.also).alias("also"), F.lit(_at_words(r.pattern)).alias("re"), F.lit(r.label).alias("label"),
                    F.lit(r.priority).alias("p"), F.lit(r.confidence).alias("c"), F.lit(-i).alias("order")) for i, r in enumerate(every)]
     )
     text = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), GAP, " "), F.lit(" "))
@@ -217,10 +218,9 @@ def scan(docs: DataFrame) -> DataFrame:
         "base": F.array_compact(F.array(*base)),
     })
 
-    gate = words.rlike("(?:^| )(?:licen[cs]|spdx|copyright|permission|redistribut|unencumbered|domain|rights|proprietary|unlicensed|advertising|altered|[al]?gpl|cc|wtfpl)")
     held = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: words.contains(k))
-    active = F.filter(table, lambda r: F.array_contains(F.col("held"), r["k"]))
-    d = d.withColumn("held", F.when(gate, held))
+    active = F.filter(table, lambda r: F.array_contains(F.col("held"), r["k"]) & F.array_contains(F.col("held"), r["also"]))
+    d = d.withColumn("held", held)
     hits = F.flatten(
         F.transform(
             active,
