@@ -1,7 +1,7 @@
 """Chat formatting: tool calls are linked to their results, ordered, validated and written as canonical JSON.
 
 A message calls tools if its text is a JSON object with ``tool_calls`` (a list) or is one call itself: ``id``, ``name``,
-``arguments`` and optionally ``after``, the identifiers of calls whose results it needs. A message of role ``tool`` is a
+``arguments`` (these two alone or in ``function``) and optionally ``after``, the identifiers of calls whose results it needs. A message of role ``tool`` is a
 result if its text is a JSON object with ``tool_call_id``. Calls and results are joined by conversation and identifier.
 
 Order is topological: by depth (a call after the calls it names, a result after its call), then turn, then place. Depths
@@ -15,7 +15,9 @@ repeated.
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterable
 from typing import Any
 
 import pandas as pd
@@ -38,49 +40,81 @@ def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def problems(arguments: Any, schema: dict | None, at: str = "$") -> list[str]:
+def problems(arguments: Any, schema: Any, at: str = "$") -> list[str]:
     """What is wrong with arguments under a JSON schema (type, required, properties, items, enum)."""
-    if schema is None:
+    if not isinstance(schema, dict):
         return []
     kind = schema.get("type")
-    ok = kind is None or (isinstance(arguments, TYPES[kind]) and not (kind in ("integer", "number") and isinstance(arguments, bool)))
-    out = [] if ok else [f"{at}: not of type {kind}"]
-    if "enum" in schema and arguments not in schema["enum"]:
+    kinds = [k for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str) and k in TYPES]
+    is_kind = lambda k: isinstance(arguments, TYPES[k]) and not (k in ("integer", "number") and isinstance(arguments, bool))
+    out = [] if not kinds or any(map(is_kind, kinds)) else [f"{at}: not of type {' or '.join(kinds)}"]
+    if isinstance(schema.get("enum"), list) and arguments not in schema["enum"]:
         out.append(f"{at}: not in enum")
     if isinstance(arguments, dict):
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in arguments]
+        needed, known = schema.get("required"), schema.get("properties")
+        out += [f"{at}.{k}: missing" for k in (needed if isinstance(needed, list) else []) if k not in arguments]
         for k, v in sorted(arguments.items()):
-            out += problems(v, schema.get("properties", {}).get(k), f"{at}.{k}")
+            out += problems(v, known.get(k) if isinstance(known, dict) else None, f"{at}.{k}")
     if isinstance(arguments, list) and "items" in schema:
         for i, v in enumerate(arguments):
             out += problems(v, schema["items"], f"{at}[{i}]")
     return out
 
 
-def parts_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[dict]:
-    """A message's parts: its calls, its result, or the message itself."""
+def _object(text: str | None) -> dict | None:
+    """A text's JSON object, if it is one."""
     try:
         data = json.loads(text) if text and text.lstrip()[:1] == "{" else None
-    except ValueError:
-        data = None
-    if role == "tool" and isinstance(data, dict) and isinstance(data.get("tool_call_id"), str):
+    except (ValueError, RecursionError):
+        return None
+    return data if isinstance(data, dict) else None
+
+
+def stated_schemas(texts: Iterable[str]) -> dict[str, Any]:
+    """Tools that system messages state: JSON objects with ``tools``, a list of {name, parameters}, alone or in the
+    common form {type, function: {name, parameters}}. The first statement of a name counts."""
+    out: dict[str, Any] = {}
+    for text in texts:
+        tools = (_object(text) or {}).get("tools")
+        for tool in tools if isinstance(tools, list) else []:
+            tool = tool.get("function", tool) if isinstance(tool, dict) else None
+            if isinstance(tool, dict) and isinstance(tool.get("name"), str):
+                out.setdefault(tool["name"], tool.get("parameters"))
+    return out
+
+
+def parts_of(role: str | None, text: str | None, schemas: dict[str, Any], strict: bool = False) -> list[dict]:
+    """A message's parts: its content and calls, its result, or the message itself. ``strict``: a tool without a schema
+    is unknown even if there are no schemas."""
+    data = _object(text)
+    if role == "tool" and data is not None and isinstance(data.get("tool_call_id"), str):
         body = {"role": "tool", "tool_call_id": data["tool_call_id"], "content": data.get("content")}
         return [_part("result", 0, data["tool_call_id"], json_=canonical(body))]
-    calls = data.get("tool_calls", [data] if {"id", "name", "arguments"} <= set(data) else None) if isinstance(data, dict) else None
-    if not isinstance(calls, list) or not all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls) or not calls:
+    calls = None
+    if data is not None:
+        alone = {"id", "name", "arguments"} <= set(data) or ("id" in data and isinstance(data.get("function"), dict))
+        calls = data.get("tool_calls", [data] if alone else None)
+    has_id = lambda c: isinstance(c, dict) and isinstance(c.get("id"), str)
+    if not isinstance(calls, list) or not any(map(has_id, calls)):
         return [_part("message", 0, json_=canonical({"role": role, "content": text}))]
     out = []
+    if data.get("content") not in (None, ""):
+        out.append(_part("message", -1, json_=canonical({"role": role, "content": data["content"]})))
     for i, c in enumerate(calls):
-        args, name = c.get("arguments"), c.get("name")
+        if not has_id(c):
+            out.append(_part("call", i, found=["no id"], json_=canonical({"role": role, "tool_call": c})))
+            continue
+        of = c["function"] if isinstance(c.get("function"), dict) else c
+        args, name = of.get("arguments"), of.get("name")
         found: list[str] = []
         if isinstance(args, str):
             try:
                 args = json.loads(args)
-            except ValueError:
+            except (ValueError, RecursionError):
                 found = ["$: not JSON"]
         if not isinstance(name, str):
             found, name = [*found, "no name"], None
-        elif schemas and name not in schemas:
+        elif (schemas or strict) and name not in schemas:
             found.append("unknown tool")
         found += problems(args, schemas.get(name))
         after = [x for x in c.get("after") or [] if isinstance(x, str)] if isinstance(c.get("after"), list) else []
@@ -94,33 +128,52 @@ def _part(kind: str, item: int, call_id: str | None = None, name: str | None = N
     return {"kind": kind, "item": item, "call_id": call_id, "name": name, "after": after or [], "valid": not found, "problems": "; ".join(found), "json": json_}
 
 
-def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None, max_depth: int = 50) -> DataFrame:
+def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None, stated: bool = False) -> DataFrame:
     """One row per message, call or result: conv_id, turn, item, role, kind, call_id, name, depth, status, valid,
     problems, json. Reading a conversation by (depth, turn, item) puts every call before what needs it.
 
     status: ``message``; of calls ``linked``, ``no_result``, ``repeated_id`` or ``cycle``; of results ``linked``,
-    ``no_call``, ``repeated_id`` or ``early`` (before its call's turn, linked all the same). Chains of more than
-    ``max_depth`` calls are an error.
+    ``no_call``, ``repeated_id`` or ``early`` (before its call's turn, linked all the same); of calls without a text
+    identifier ``no_id``. A content beside calls is a message of item -1.
+
+    ``stated``: a conversation's system messages state its tools (``stated_schemas``), beside ``schemas``; any other is
+    an unknown tool.
     """
     schemas = schemas or {}
 
     @F.pandas_udf(f"array<struct<{', '.join(f'{f.split()[0]}:{f.split()[1]}' for f in PART.split(', '))}>>")
-    def parts(roles: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([parts_of(r, t, schemas) for r, t in zip(roles, texts, strict=True)])
-
-    rows = messages.select("conv_id", "turn", "role", F.explode(parts("role", "text")).alias("p")).select("conv_id", "turn", "role", "p.*")
+    def parts(roles: pd.Series, texts: pd.Series, tools: pd.Series) -> pd.Series:
+        read: dict[tuple, dict] = {}
+        out = []
+        for r, t, said in zip(roles, texts, tools, strict=True):
+            key = () if said is None else tuple(said)
+            if key not in read:
+                read[key] = stated_schemas(key) | schemas
+            out.append(parts_of(r, t, read[key], stated))
+        return pd.Series(out)
+
+    m = messages.select("conv_id", "turn", "role", "text", F.lit(None).cast("array<string>").alias("tools"))
+    if stated:
+        said = messages.filter((F.col("role") == "system") & F.ltrim("text").startswith("{") & F.col("text").contains('"tools"'))
+        said = said.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "text"))).alias("s")).select("conv_id", F.col("s.text").alias("said"))
+        said = stored(said, "tools")
+        if not said.isEmpty():
+            held = F.coalesce(F.ltrim("text").startswith("{"), F.lit(False))
+            asks = m.filter(held).drop("tools").join(said, "conv_id", "left").withColumnRenamed("said", "tools")
+            m = m.filter(~held).unionByName(asks)
+    rows = m.select("conv_id", "turn", "role", F.explode(parts("role", "text", "tools")).alias("p")).select("conv_id", "turn", "role", "p.*")
     rows = stored(rows, "parts")
-    plain = rows.filter("kind = 'message'").select(
-        "conv_id", "turn", "item", "role", "kind", "call_id", "name", F.lit(0).alias("depth"), F.lit("message").alias("status"), "valid", "problems", "json"
+    plain = rows.filter("kind = 'message' or call_id is null").select(
+        "conv_id", "turn", "item", "role", "kind", "call_id", "name", F.lit(0).alias("depth"), F.when(F.col("kind") == "call", "no_id").otherwise("message").alias("status"), "valid", "problems", "json"
     )
-    linked = rows.filter("kind <> 'message'")
+    linked = rows.filter("kind <> 'message' and call_id is not null")
     if linked.isEmpty():
         return plain
     order = W.partitionBy("conv_id", "kind", "call_id").orderBy("turn", "item", "json")
     linked = stored(linked.withColumn("nth", F.row_number().over(order)), "linked")
     calls = linked.filter("kind = 'call' and nth = 1").select("conv_id", "call_id", F.col("turn").alias("call_turn"), "after")
     results = linked.filter("kind = 'result' and nth = 1").select("conv_id", "call_id", F.lit(True).alias("answered"))
-    depths = call_depths(calls, max_depth)
+    depths = call_depths(calls)
     out = (
         linked.join(calls.drop("after"), ["conv_id", "call_id"], "left")
         .join(results, ["conv_id", "call_id"], "left")
@@ -154,7 +207,7 @@ def conversation_json(formatted: DataFrame, turns: int = 500) -> DataFrame:
     return grouped.select("conv_id", "part", joined.alias("json"), F.size("rows").alias("n"))
 
 
-def call_depths(calls: DataFrame, max_depth: int) -> DataFrame:
+def call_depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, call_depth): twice the longest chain of calls that a call comes after; calls in or behind a
     cycle are absent."""
     edges = stored(
@@ -164,7 +217,7 @@ def call_depths(calls: DataFrame, max_depth: int) -> DataFrame:
     )
     ids = calls.select("conv_id", "call_id")
     done = stored(ids.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("call_depth", F.lit(0)), "depths")
-    for level in range(1, max_depth + 1):
+    for level in itertools.count(1):
         left = ids.join(done, ["conv_id", "call_id"], "left_anti")
         known = done.select("conv_id", F.col("call_id").alias("before"))
         waiting = edges.join(known, ["conv_id", "before"], "left_anti").select("conv_id", "call_id")
@@ -172,4 +225,6 @@ def call_depths(calls: DataFrame, max_depth: int) -> DataFrame:
         if ready.isEmpty():
             return done
         done = done.unionByName(ready)
-    raise ValueError(f"a chain of more than {max_depth} calls")
+        if level % 16 == 0:
+            done = stored(done, "depths")
+    raise AssertionError("levels never end")

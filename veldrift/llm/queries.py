@@ -40,7 +40,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+    return chat.format_chats(_table(spark, sf_dir, "conversations"), stated=True)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
