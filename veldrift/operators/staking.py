@@ -88,10 +88,11 @@ def risk_constrained(returns: DataFrame, order: str, key: str, weight: float = 0
     return j.groupBy(key).agg(F.min_by(F.struct("fraction", "growth", "max_drawdown", "score"), F.struct(F.round("score", 9).alias("s"), "fraction")).alias("b")).select(key, "b.*")
 
 
-def cvar_drawdown(returns: DataFrame, fraction: float, order: str, alpha: float = 0.10, resamples: int = 200, seed: int = 42) -> DataFrame:
+def cvar_drawdown(returns: DataFrame, fraction: float, order: str, alpha: float = 0.10, resamples: int = 200, seed: int = 42, block: int = 10_000) -> DataFrame:
     """Mean of the largest drawdowns over bootstrap resamples: value at risk and the mean beyond it.
 
     A resample draws its i-th bet by a hash of (seed, resample, i); bets are numbered by an order column.
+    Paths are summed by blocks of bets, so no task holds a whole one.
     """
     one = returns.select("ret", order, F.lit(1).alias("_one"))
     r = running_sum(one, order, "_one", "_at").select("ret", (F.col("_at") - 1).alias("i"))
@@ -99,11 +100,18 @@ def cvar_drawdown(returns: DataFrame, fraction: float, order: str, alpha: float
     draws = r.select("i").crossJoin(F.broadcast(size)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     draws = draws.withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), "n"))
     path = draws.join(r.select(F.col("i").alias("pick"), "ret"), "pick")
-    s = W.partitionBy("rep").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    x = F.greatest(1 + fraction * F.col("ret"), F.lit(1e-12))
-    path = path.withColumn("_log", F.sum(F.log(x)).over(s))
-    path = path.withColumn("_dd", 1 - F.exp(F.col("_log") - F.greatest(F.lit(0.0), F.max("_log").over(s))))
-    worst = path.groupBy("rep").agg(F.max("_dd").alias("dd"))
+    x = F.log(F.greatest(1 + fraction * F.col("ret"), F.lit(1e-12)))
+    path = path.select("rep", "i", F.floor(F.col("i") / block).alias("block"), x.alias("_x"))
+    s = W.partitionBy("rep", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    path = path.withColumn("_log", F.sum("_x").over(s)).withColumn("_fall", F.max("_log").over(s) - F.col("_log"))
+    blocks = path.groupBy("rep", "block").agg(
+        F.sum("_x").alias("_sum"), F.max("_log").alias("_high"), F.min("_log").alias("_low"), F.max("_fall").alias("_fall")
+    )
+    before = W.partitionBy("rep").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row per block
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    blocks = blocks.withColumn("_peak", F.greatest(F.lit(0.0), F.max(F.col("_start") + F.col("_high")).over(before)))
+    fall = F.greatest("_fall", F.col("_peak") - F.col("_start") - F.col("_low"))
+    worst = blocks.groupBy("rep").agg((1 - F.exp(-F.max(fall))).alias("dd"))
     cut = worst.agg(F.percentile("dd", 1 - alpha).alias("var"))
     return worst.crossJoin(F.broadcast(cut)).filter("dd >= var").agg(F.first("var").alias("value_at_risk"), F.avg("dd").alias("cvar"))
 

@@ -201,7 +201,7 @@ R.table(
     {"a": None, "b": None, "mean_a": 6, "mean_b": 6, "cov": 5},
 )
 R.rows_only("risk_constrained_kelly", lambda s, d: staking.risk_constrained(rets(s, d), "bet_id", "league"))
-R.rows_only("cvar_drawdown", lambda s, d: staking.cvar_drawdown(rets(s, d).limit(200), 0.02, "bet_id", resamples=50))
+R.rows_only("cvar_drawdown", lambda s, d: staking.cvar_drawdown(rets(s, d), 0.02, "bet_id", resamples=50))
 R.rows_only("risk_of_ruin", lambda s, d: staking.ruin(s, 0.55, 2.0, 0.05, n_sims=2000, n_bets=200).withColumn("accepted", staking.acceptable(F.col("p_ruin"), F.col("p_dd30"))))
 
 
