@@ -18,14 +18,16 @@ NAME = r"\p{L}\p{N}._%+\-"
 #: What each kind looks like, in order of preference at a place.
 LOOKS = {
     "email": rf"(?<![{NAME}])[{NAME}]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "secret": r"(?i:token|secret|api[_ -]?key|password|passwd)\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9_\-/+]{16,200}+",
+    "secret": r"(?i:token|secret|api[_ -]?key|password|passwd)\s{0,3}[=:]\s{0,3}[\x22\x27]?[A-Za-z0-9_\-/+]{16,}+",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/])",
-    "phone": r"\+[0-9]{1,3}[ \-]?\([0-9]{2,4}\)[ \-]?[0-9]{3}[ \-]?[0-9]{4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ \-][0-9]{2,4}){3,4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ \-]?\([0-9]{2,4}\)[ \-]?[0-9]{3}[ \-]?[0-9]{4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ \-][0-9]{2,4}){3,4}(?![0-9])|(?<![0-9\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])|(?<![\p{L}\p{N}+])\+[1-9][0-9]{7,14}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
 PATTERN = "|".join(LOOKS.values())
+#: Country codes, which only their first digits tell apart in unseparated numbers.
+COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 ROUNDS = 8
 #: Dates from 1900-01-01 on, as 250 x 292 days.
 DAYS = (250, 292)
@@ -117,7 +119,8 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The value that stands for a found value of a kind; null kind: the value itself."""
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key), F.lower(F.regexp_extract(m, "^([^@]+)@", 1))), 256), 1, 12), F.regexp_extract(m, "(@.*)$", 1))
     value = F.regexp_extract(m, r"([A-Za-z0-9_\-/+]+)$", 1)
-    digest = F.concat(*[F.sha2(F.concat(F.lit(f"{key}/{i}/"), value), 256) for i in range(4)])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int")), lambda i: F.sha2(F.concat(F.lit(f"{key}/"), i.cast("string"), F.lit("/"), value), 256))
+    digest = F.array_join(blocks, "")
     secret = F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.substring(digest, F.lit(1), F.length(value)))
     octet = lambda i: F.split(m, r"\.")[i].cast("int")
     ip = _let(
@@ -133,7 +136,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
     day = _let(other, lambda x: F.when(iso, F.date_format(x, "yyyy-MM-dd")).otherwise(F.date_format(x, "dd/MM/yyyy")))
     # The country code stays; the rest of a phone number is permuted.
-    lead = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ \-]?|)", 1)
+    lead = F.when(m.rlike("^\\+[0-9]+$"), F.regexp_extract(m, f"^({COUNTRY})", 1)).otherwise(F.regexp_extract(m, r"^(\+[0-9]{1,3}[ \-]?|)", 1))
     rest = F.substring(m, F.length(lead) + 1, F.length(m))
     phone = F.concat(lead, _refill(rest, permute_digits(_digits(rest), f"{key}/phone")))
     ssn = _refill(m, permute_digits(_digits(m), f"{key}/ssn"))
