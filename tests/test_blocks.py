@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from veldrift.operators import staking
-from veldrift.plans import markets
+from veldrift.operators import learning, staking
+from veldrift.plans import markets, models
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,3 +29,24 @@ def test_cvar_takes_every_bet_and_blocks_change_nothing(spark):
         assert abs(got.value_at_risk - dd[0]) < 1e-9 and abs(got.cvar - sum(dd) / reps) < 1e-9
     whole = staking.cvar_drawdown(d, 0.02, "bet_id", resamples=50).first()
     assert abs(markets.R.queries["cvar_drawdown"](spark, SMALL).first().cvar - whole.cvar) < 1e-9
+
+
+def test_grid_finds_the_nearest(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(80, 3)), 0.01 * rng.normal(size=(40, 3)), np.tile([9.0, 9.0, 9.0], (12, 1)), [[50.0, 0.0, 0.0]]]) * [0.1, 20, 2]
+    names = ("return", "rsi", "log_volume")
+    b = spark.createDataFrame([(i, *map(float, r), float(i % 2)) for i, r in enumerate(x)], "i long, `return` double, rsi double, log_volume double, label double")
+    a = b.filter("label = 1").drop("label")
+    expected = set()
+    for i in range(1, len(x), 2):
+        gaps = ((x - x[i]) ** 2).sum(axis=1)
+        order = sorted((g, j) for j, g in enumerate(gaps) if j != i)[:5]
+        expected |= {(i, j, n + 1) for n, (_, j) in enumerate(order)}
+    for all_pairs in (0, 10**6):
+        assert {(r.i, r.j, r.n) for r in learning._neighbours(a, b, names, 5, all_pairs).collect()} == expected
+
+
+def test_smote_query_takes_all_rows(spark):
+    d = models.features(spark, SMALL).groupBy("label").count().collect()
+    counts = sorted(r["count"] for r in d)
+    assert models.R.queries["smote"](spark, SMALL).count() == counts[1] - counts[0]

@@ -18,6 +18,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/veldrift/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sum(df: DataFrame, order: str, value: str, name: str, alone: int = ALONE) -> DataFrame:
     """Adds the sum of ``value`` over the rows before and at each row; rows must differ in ``order``.
 

@@ -7,6 +7,7 @@ test rows, and a meta-learner sees out-of-fold predictions only.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running_sum, written
 from . import evaluation as ev
 
 DECLARED = ["return", "volatility", "rsi", "hl_range", "oc_range", "log_volume", "vwap_ratio", "lag_1", "lag_5", "lag_20", "momentum_10", "momentum_21", "day_of_week", "quarter"]
@@ -186,12 +188,58 @@ def majority(d: DataFrame, y: str = "label") -> DataFrame:
     return d.agg(F.greatest(F.avg(y), 1 - F.avg(y)).alias("majority"))
 
 
-def _neighbours(a: DataFrame, b: DataFrame, names: tuple[str, ...], k: int) -> DataFrame:
-    """The k nearest rows of b (j, names, label) for each row of a (i, names), by squared distance."""
-    other = b.toDF("j", *[f"{c}_b" for c in names], "label_b")
+#: Pairs that a join of all rows with all may make.
+ALL_PAIRS = 5_000_000
+
+
+def _nearest(pairs: DataFrame, names: tuple[str, ...], k: int) -> DataFrame:
+    """The k nearest of pairs (i, names, q, at j, label_b): combined by parts of ``q`` first, so no task holds a row's all."""
     gap = sum((F.pow(F.col(c) - F.col(f"{c}_b"), F.lit(2)) for c in names), F.lit(0.0))
-    near = a.join(other, F.col("i") != F.col("j")).withColumn("gap", gap)
-    return near.withColumn("n", F.row_number().over(W.partitionBy("i").orderBy("gap", "j"))).filter(F.col("n") <= k)
+    first = W.partitionBy("i", "q").orderBy("gap", "j")
+    cut = pairs.withColumn("gap", gap).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k)
+    return cut.withColumn("n", F.row_number().over(W.partitionBy("i").orderBy("gap", "j"))).filter(F.col("n") <= k).drop("q")
+
+
+def _neighbours(a: DataFrame, b: DataFrame, names: tuple[str, ...], k: int, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """The k nearest rows of b (j, names, label) for each row of a (i, names), by squared distance; of alike ones the
+    least j. Rows with a null in ``names`` are left out.
+
+    Cells of a grid meet their neighbours by equality. A row whose k-th neighbour lies within one cell's width is done;
+    the others try again with cells twice as wide, until few enough are left to meet every row. Of rows alike in all
+    names the k + 1 least j are enough for any other row.
+    """
+    whole = lambda d: d.dropna(subset=list(names))
+    a, b = written(whole(a), "query"), whole(b)
+    alike = W.partitionBy(*names, "label").orderBy("i")
+    b = b.withColumn("_nth", F.row_number().over(alike)).filter(F.col("_nth") <= k + 1).drop("_nth")
+    other = written(b.toDF("j", *[f"{c}_b" for c in names], "label_b"), "others")
+    size = other.agg(F.count(F.lit(1)).alias("n"), *[(F.max(f"{c}_b") - F.min(f"{c}_b")).alias(c) for c in names]).first()
+    spans = [size[c] for c in names if size[c]]
+    width = math.prod(spans) ** (1 / len(spans)) * (k / max(size.n, 1)) ** (1 / len(spans)) / 4 if spans else 1.0
+    out, rest, left = None, a, a.count()
+    while left:
+        last = left * size.n <= all_pairs or not spans or width > 2 * max(spans)
+        if last:
+            pairs = rest.crossJoin(other.withColumn("q", F.pmod("j", F.lit(16)))).filter(F.col("i") != F.col("j"))
+        else:
+            cell = lambda c: F.floor(F.col(c) / width)  # noqa: E731, B023
+            ask = rest.select("*", *[F.explode(F.array(*[cell(c) + x for x in (-1, 0, 1)])).alias(f"c{m}") if m == 0 else cell(c).alias(f"c{m}") for m, c in enumerate(names)])
+            for m in range(1, len(names)):
+                ask = ask.withColumn(f"c{m}", F.explode(F.array(*[F.col(f"c{m}") + x for x in (-1, 0, 1)])))
+            held = other.select("*", *[cell(f"{c}_b").alias(f"c{m}") for m, c in enumerate(names)])
+            cells = [f"c{m}" for m in range(len(names))]
+            pairs = ask.join(held, cells).filter(F.col("i") != F.col("j")).withColumn("q", F.xxhash64(*cells)).drop(*cells)
+        near = written(_nearest(pairs, names, k), "near")
+        if not last:
+            done = near.filter((F.col("n") == k) & (F.col("gap") < width * width * (1 - 1e-9))).select("i")
+            near = near.join(done, "i", "left_semi")
+            rest = written(rest.join(done, "i", "left_anti"), "rest")
+            left = rest.count()
+        else:
+            left = 0
+        out = near if out is None else out.unionByName(near)
+        width *= 2
+    return out if out is not None else _nearest(a.crossJoin(other.withColumn("q", F.lit(0))), names, k)
 
 
 def resample(d: DataFrame, method: str, **kw) -> DataFrame:
@@ -208,13 +256,14 @@ def resample(d: DataFrame, method: str, **kw) -> DataFrame:
 def smote(d: DataFrame, k: int = 5, y: str = "label", names: tuple[str, ...] = ("return", "rsi", "log_volume"), seed: int = 42, adaptive: bool = False) -> DataFrame:
     """New rows of the minority class, by interpolation to one of the k nearest of it, until the classes are even.
 
-    ``adaptive``: rows with more of the other class among their k nearest get more new ones. Neighbours come from a join
-    of the classes; it is for classes that a join can take whole.
+    ``adaptive``: rows with more of the other class among their k nearest get more new ones. Rows with a null
+    in ``names`` have no neighbours and are no neighbours.
     """
     counts = {r[y]: r["count"] for r in d.groupBy(y).count().collect()}
     few = min(counts, key=lambda c: (counts[c], c))
     need = max(counts.values()) - counts[few]
-    every = d.select(F.row_number().over(W.orderBy("timestamp", "ticker")).alias("i"), *names, F.col(y).alias("label"))
+    numbered = d.select(F.struct("timestamp", "ticker").alias("_at"), *names, F.col(y).alias("label"), F.lit(1).alias("_one"))
+    every = written(running_sum(numbered, "_at", "_one", "i").select("i", *names, "label"), "numbered")
     own = every.filter(F.col("label") == few)
     near = _neighbours(own.drop("label"), own, names, k)
     if adaptive:
@@ -226,7 +275,8 @@ def smote(d: DataFrame, k: int = 5, y: str = "label", names: tuple[str, ...] = (
     turns = near.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(max(1, -(-need // max(counts[few], 1)) * 2)))))
     key = (F.col("turn") + (F.col("n") - 1) / k) / F.col("hard")
     step = F.pmod(F.xxhash64(F.lit(seed), "i", "j", "turn"), F.lit(10_000)) / 10_000
-    new = turns.withColumn("_o", F.row_number().over(W.orderBy(key, F.xxhash64(F.lit(seed), "j", "i"), "i", "j", "turn"))).filter(F.col("_o") <= need)
+    turns = turns.withColumns({"_key": F.struct(key.alias("k"), F.xxhash64(F.lit(seed), "j", "i").alias("h"), "i", "j", "turn"), "_one": F.lit(1)})
+    new = running_sum(turns, "_key", "_one", "_o").filter(F.col("_o") <= need)
     return new.select(F.lit(few).alias(y), *[(F.col(c) + step * (F.col(f"{c}_b") - F.col(c))).alias(c) for c in names])
 
 

@@ -165,4 +165,4 @@ R.rows_only("volatility_regressor", lambda s, d: learning.volatility(ind.add_har
 R.rows_only("regime_models", lambda s, d: learning.by_regime(features(s, d)))
 R.rows_only("pooled_routing", lambda s, d: learning.routing(features(s, d)))
 R.rows_only("feature_importance", lambda s, d: learning.importance(features(s, d)))
-R.rows_only("smote", lambda s, d: learning.smote(features(s, d).filter("ticker = 'A'").limit(400)))
+R.rows_only("smote", lambda s, d: learning.smote(features(s, d)))
