@@ -2,6 +2,7 @@
 
 import dataclasses
 import re
+import time
 from re import _constants as c
 from re import _parser
 
@@ -64,3 +65,14 @@ def test_gated_results_equal_ungated(spark, monkeypatch):
 def test_each_verb_is_found(spark, verb):
     rows = [(1, f"this library is {verb} under mit", "en", "s", 0, "c", 1, "v", 1)]
     assert licenses.scan(frame(spark, rows)).first().labels == "mit"
+
+
+def test_a_long_text_of_statements_takes_time_in_proportion(spark):
+    one = "Licensed under the GNU General Public License, version 3. Released under the MIT License. CC BY-NC 4.0; bsd license. "
+    took = []
+    for n in (1, 1000, 4000):
+        began = time.time()
+        r = licenses.scan(frame(spark, [(1, one * n, "en", "s", 0, "c", 1, "v", 1)])).collect()[0]
+        took.append(time.time() - began)
+        assert (r.n_base, r.labels, len(r.detections) % n) == (2 * n, "bsd,cc-by-nc,gpl-3,mit", 0)
+    assert took[2] < 10 * took[1]

@@ -1,9 +1,10 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
 A rule is a regex over the text's words (lower-cased A-Z, joined by one space), with a keyword, a label and a priority.
-A text is searched for the keywords first, and only for the rules whose keyword and statement's literal it holds. Each match is an interval of words;
-one that lies inside another of the same or a higher priority is suppressed, and of equal intervals the later rule's stays:
-rules go from general to specific names. No row leaves its partition.
+A text is searched for the keywords first, and only for the rules whose keyword and statement's literal it holds. The
+words of such a text are numbered, so each match tells its interval of words and the work grows with the text alone. An
+interval that lies inside another of the same or a higher priority is suppressed, and of equal intervals the later rule's
+stays: rules go from general to specific names. No row leaves its partition.
 
 Base phrases are found apart from the rules: every place where a phrase's words stand one after another.
 
@@ -12,6 +13,7 @@ Defined results: null text has no words, places or labels and score 0.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -169,20 +171,18 @@ def _at_words(pattern: str) -> str:
     return rf"(?<=^| )(?:{pattern})(?= |$)"
 
 
+def numbered(pattern: str) -> str:
+    """A rule's regex for words that each follow their number and a colon, which no word holds."""
+    spaced = pattern.replace(".{", "(?:[^ ]| ){").replace(" ?", "(?: )?")
+    inner = spaced.replace("[^ ]", "\0").replace(" ", " [0-9]++:").replace("\0", "[^ ]")
+    return rf"(?<![^ ])[0-9]++:(?:{inner})(?![^ ])"
+
+
 def _intervals(text: Column, pattern: Column) -> Column:
-    """Matches of a regex in joined words as structs of start and end (in words)."""
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(_words(g).alias("gap"), _words(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(
-        sizes,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    """Matches of a regex in numbered words as structs of start and end (in words)."""
+    return F.transform(
+        F.regexp_extract_all(text, pattern, F.lit(0)),
+        lambda m: F.struct(F.substring_index(m, ":", 1).cast("int").alias("start"), (F.regexp_extract(m, "([0-9]+):[^ ]*$", 1).cast("int") + 1).alias("end")),
     )
 
 
@@ -191,10 +191,9 @@ def scan(docs: DataFrame) -> DataFrame:
     detections (array of label, start, end, priority, confidence, kept or not)."""
     every = rules()
     keywords = sorted({k for r in every for k in (r.keyword, r.also)})
-    table = F.array(
-        *[F.struct(F.lit(r.keyword).alias("k"), F.lit(r.also).alias("also"), F.lit(_at_words(r.pattern)).alias("re"), F.lit(r.label).alias("label"),
-                   F.lit(r.priority).alias("p"), F.lit(r.confidence).alias("c"), F.lit(-i).alias("order")) for i, r in enumerate(every)]
-    )
+    listed_rules = [{"k": r.keyword, "also": r.also, "re": numbered(r.pattern), "label": r.label, "p": r.priority, "c": r.confidence, "order": -i} for i, r in enumerate(every)]
+    # One literal: Spark reads it once when it plans.
+    table = F.from_json(F.lit(json.dumps(listed_rules)), "array<struct<k:string,also:string,re:string,label:string,p:int,c:double,order:int>>")
     text = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(F.coalesce("text", F.lit(""))), GAP, " "), F.lit(" "))
     d = docs.select("doc_id", text.alias("words")).withColumn("words", F.trim("words"))
     d = d.withColumn("n_words", _words(F.col("words")).cast("long"))
@@ -220,17 +219,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
     held = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: words.contains(k))
     active = F.filter(table, lambda r: F.array_contains(F.col("held"), r["k"]) & F.array_contains(F.col("held"), r["also"]))
-    d = d.withColumn("held", held)
-    hits = F.flatten(
+    d = d.withColumn("held", held).withColumn("active", F.when(F.size("held") > 0, active))
+    by_number = F.array_join(F.transform(F.split(words, " "), lambda w, i: F.concat(i.cast("string"), F.lit(":"), w)), " ")
+    # The text is numbered once, as the only element of an array, not once for each rule.
+    hits = F.flatten(F.flatten(
         F.transform(
-            active,
-            lambda r: F.transform(
-                _intervals(words, r["re"]),
-                lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (-r["p"]).alias("low"), r["order"].alias("order"), r["label"].alias("label"), r["c"].alias("c")),
+            F.array(by_number),
+            lambda t: F.transform(
+                "active",
+                lambda r: F.transform(
+                    _intervals(t, r["re"]),
+                    lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (-r["p"]).alias("low"), r["order"].alias("order"), r["label"].alias("label"), r["c"].alias("c")),
+                ),
             ),
         )
-    )
-    d = d.withColumn("hits", F.when(F.size("held") > 0, F.array_sort(F.array_distinct(hits))))
+    ))
+    d = d.withColumn("hits", F.when(F.size("active") > 0, F.array_sort(hits)))
     none = F.array().cast("array<string>")
     start = F.struct(F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.lit(-1).alias("e3"), none.alias("labels"), F.lit(1.0).alias("miss"))
 

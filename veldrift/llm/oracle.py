@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import BASE, rules
+
 OP1 = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
@@ -66,5 +68,54 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+OP5 = """
+WITH rules(ord, k, also, re, label, p, c) AS (VALUES {rules}),
+base(label, phrase) AS (VALUES {base}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, trim(regexp_replace(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'
+  ), ' ') AS t FROM documents
+), w AS (
+  SELECT *, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM d
+), place AS (
+  SELECT r, b.label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(b.phrase) - 1] = b.phrase)) - 1 AS pos
+  FROM w, base b WHERE contains(t, array_to_string(b.phrase, ' '))
+), bases AS (
+  SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS base FROM place GROUP BY r
+), numbered AS (
+  SELECT r, t, array_to_string(list_transform(w, lambda x, i: concat(i - 1, ':', x)), '  ') AS nt FROM w WHERE EXISTS (SELECT 1 FROM rules WHERE contains(t, k) AND contains(t, also))
+), match AS (
+  SELECT r, ord, label, p, c, trim(unnest(regexp_extract_all(nt, re)), ' ') AS m
+  FROM numbered JOIN rules ON contains(t, k) AND contains(t, also)
+), hit AS (
+  SELECT r, ord, label, p, c, CAST(regexp_extract(m, '^([0-9]+):', 1) AS BIGINT) AS s, CAST(regexp_extract(m, '([0-9]+):[^ ]*$', 1) AS BIGINT) + 1 AS e FROM match
+), far AS (
+  SELECT *, max(e) OVER o AS e1, max(CASE WHEN p >= 2 THEN e END) OVER o AS e2, max(CASE WHEN p >= 3 THEN e END) OVER o AS e3
+  FROM hit WINDOW o AS (PARTITION BY r ORDER BY s, e DESC, p DESC, ord DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), kept AS (
+  SELECT r, list(DISTINCT label) AS labels, min(1.0::DOUBLE - c) AS miss FROM far
+  WHERE e > coalesce(CASE p WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END, -1) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ','), '') AS labels,
+  CASE WHEN base IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(1.0::DOUBLE - miss, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN bases USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def op5_sql() -> str:
+    """Every rule over every text that holds its keywords, with intervals compared by windows."""
+
+    def numbered(pattern: str) -> str:
+        """For words that are numbered and two spaces apart, of which a match takes one on each side."""
+        parts = pattern.replace(".{", "(?:\0|\1){").replace(" ?", "(?:\1)?").replace(" ", "\1")
+        return f"(?:^| )[0-9]+:(?:{parts})(?: |$)".replace("\0", "[^ ]").replace("\1", "  [0-9]+:")
+
+    rows = [f"({i}, '{r.keyword}', '{r.also}', '{numbered(r.pattern)}', '{r.label}', {r.priority}, {r.confidence}::DOUBLE)" for i, r in enumerate(rules())]
+    base = [f"('{label}', {phrase.split()})" for phrase, label in BASE.items()]
+    return OP5.format(rules=",\n".join(rows), base=", ".join(base))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op10_substring_dedup": OP10}
+    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op5_license_scan": op5_sql(), "op10_substring_dedup": OP10}
