@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,13 +13,23 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Used only where the session names no checkpoint folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: The session's setting for a folder of this machine, used only in local mode without a checkpoint folder.
+LOCAL_SCRATCH = "veldrift.local.scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint
+    folder. Where neither is set, a new folder of this machine is set for the session, but only if Spark runs in this
+    one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_SCRATCH, None)
+    if not base:
+        held = spark._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set(LOCAL_SCRATCH, base)
     return f"{base.rstrip('/')}/veldrift/{name}-{uuid.uuid4().hex}"
 
 
@@ -29,11 +40,16 @@ def stored(df: DataFrame, name: str, path: str | None = None, **options: str) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more, and let Spark clean the shuffles that made them."""
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables, and let Spark clean the shuffles that made them."""
+    remove(spark, *paths)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -97,14 +113,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of edges never grows, and a hub's neighbours are pre-aggregated before the shuffle. An edge from a node to
     itself only names that node.
     """
+    spark = edges.sparkSession
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    cur = stored(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges"
-    )
+    at = scratch_path(spark, "edges")
+    cur = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "", at)
     before = None
     for _ in range(max_rounds):
+        least_at, next_at = scratch_path(spark, "least"), scratch_path(spark, "edges")
         both = cur.select("v", "u").union(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
+        # Written, so that the join meets two shuffles and a hub's rows can be split.
+        least = stored(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m")), "", least_at)
         # Large star: every greater neighbour of v moves to v's least neighbour.
         large = (
             both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").distinct()
@@ -118,7 +136,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .filter("u < v")
             .distinct()
         )
-        cur = stored(small, "edges")
+        cur = stored(small, "", next_at)
+        remove(spark, at, least_at)
+        at = next_at
         now = cur.agg(
             F.count("*"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0))
         ).first()
@@ -141,6 +161,7 @@ __all__ = [
     "connected_components",
     "discard",
     "fresh",
+    "remove",
     "rows_with",
     "scratch_path",
     "stored",

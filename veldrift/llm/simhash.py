@@ -204,8 +204,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, split_
     members = classes.join(groups, classes["fp"] == groups["node"], "left").select(
         classes["fp"], "least", F.coalesce("component", "fp").alias("component")
     )
-    least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = members.join(least, "component").select("fp", "component_id")
+    # Written before they are joined, so that a common component or fingerprint is split where the join meets two shuffles.
+    members = stored(members, "members")
+    least = stored(members.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    named = stored(members.join(least, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -233,7 +235,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, s
     """
     rows, name = with_rows(docs)
     prints = stored(rows.select(F.col(name).alias("node"), fingerprint_udf(shingle)("text").alias("fp")), "prints")
-    by_print = connected_components(links(prints.select("fp").distinct(), max_bits, split_over).distinct())
+    by_print = stored(connected_components(links(prints.select("fp").distinct(), max_bits, split_over).distinct()), "components")
     groups = prints.join(by_print.select(F.col("node").alias("fp"), "component"), "fp", "left")
     groups = stored(groups.select("node", F.coalesce("component", "fp").alias("component")), "groups")
     return keep_one(rows, name, groups).select(*[F.col(f"`{c}`") for c in docs.columns])
