@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network.
 
 Bytes are embedded, filters of several widths slide over fixed-length windows, each filter keeps its maximum in a
-window, and a softmax layer gives the languages' probabilities. The network is trained here in numpy, on a bounded
-sample of labelled documents. A text is cut into windows that cover all of it; its probabilities are the windows' mean,
+window, and a softmax layer gives the languages' probabilities. Filters move by ``STRIDE`` bytes. The network is trained
+here in numpy, on a bounded sample of labelled documents. A text is cut into windows that cover all of it; its probabilities are the windows' mean,
 weighted by their bytes. Nothing but the text is an input.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; a text shorter than a window is padded;
@@ -158,22 +158,28 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, max_labelled: int = 3000, max_langs: int = 200) -> Network | None:
-    """Train on at most ``max_labelled`` documents of each language, least by a hash of doc_id, and of each on at most
-    ``SPREAD`` windows spread over the whole text. At most ``max_langs`` languages are learned, the most frequent."""
+def fit(docs: DataFrame, max_labelled: int = 3000, max_rows: int = 60_000) -> Network | None:
+    """Train on a bounded sample: of each language at most ``max_labelled`` documents, least by a hash of doc_id, or
+    ``max_rows`` divided by the number of languages if that is less, and of each document at most ``SPREAD`` windows
+    spread over the whole text. Every language is learned, from one document at least.
+
+    The least are taken by language and part of the hash's range first, so no task sorts a whole language.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = (
-        rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).join(langs, "lang", "left_semi")
-        .withColumn("n", first).filter(F.col("n") <= max_labelled).select("doc_id").distinct()
-    )
+    n_langs = rows.agg(F.countDistinct("lang")).first()[0]
+    if not n_langs:
+        return None
+    most = max(1, min(max_labelled, max_rows // n_langs))
+    first = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy("h", "doc_id"))
+    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    ids = ids.withColumn("n", first("part")).filter(F.col("n") <= most)  # at most 64 times the sample
+    ids = ids.withColumn("n", first()).filter(F.col("n") <= most).select("doc_id").distinct()
 
     def spread(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: some_windows(t.encode("utf-8", "surrogatepass")).tobytes() if LETTER.search(t) else None)
 
     windows = F.pandas_udf(spread, "binary")
-    some = rows.select("lang", "doc_id", "text").join(F.broadcast(ids), "doc_id").join(langs, "lang", "left_semi")
+    some = rows.select("lang", "doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most max_rows ids, or one a language
     sample = some.select("lang", "doc_id", windows("text").alias("w")).filter("w is not null").toPandas()
     if not len(sample):
         return None

@@ -104,6 +104,37 @@ FROM w LEFT JOIN bases USING (r) LEFT JOIN kept USING (r)
 """
 
 
+OP7 = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text, CASE WHEN ltrim(coalesce(text, ''), ' ') LIKE '{%' OR turn IS NULL THEN 'message'
+    WHEN role = 'assistant' THEN 'call' WHEN turn > 0 THEN 'result' ELSE 'message' END AS kind FROM conversations
+), p AS (
+  SELECT conv_id, turn, kind, CASE WHEN kind = 'result' THEN 'tool' ELSE role END AS role,
+    CASE kind WHEN 'call' THEN concat_ws('-', 'reply', conv_id, turn) WHEN 'result' THEN concat_ws('-', 'reply', conv_id, turn - 1) END AS call_id,
+    CASE WHEN kind = 'call' THEN 'reply' END AS name, kind <> 'call' OR text IS NOT NULL AS valid,
+    coalesce(to_json(text), 'null') AS text FROM m
+), q AS (
+  SELECT *, CASE kind WHEN 'message' THEN concat('{"content":', text, ',"role":', coalesce(to_json(role), 'null'), '}')
+    WHEN 'result' THEN concat('{"content":', text, ',"role":"tool","tool_call_id":', to_json(call_id), '}')
+    ELSE concat('{"role":"assistant","tool_call":{"arguments":{"text":', text, ',"turn":', turn, '},"id":', to_json(call_id), ',"name":"reply"}}') END AS json FROM p
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, kind, call_id ORDER BY turn, json) AS nth FROM q
+), c AS (
+  SELECT conv_id, turn, call_id FROM n WHERE kind = 'call' AND nth = 1
+), depth AS (
+  SELECT *, 0 AS depth FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.turn = c.turn - 2)
+  UNION ALL SELECT c.*, depth + 2 FROM depth d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.turn = d.turn + 2
+)
+SELECT n.conv_id, n.turn, 0 AS item, n.role, n.kind, n.call_id, n.name, n.valid, n.json,
+  CASE n.kind WHEN 'message' THEN 0 WHEN 'call' THEN d.depth ELSE coalesce(d.depth + 1, 0) END AS depth,
+  CASE WHEN n.kind = 'message' THEN 'message' WHEN n.nth > 1 THEN 'repeated_id'
+    WHEN n.kind = 'call' THEN CASE WHEN EXISTS (SELECT 1 FROM n r WHERE r.kind = 'result' AND r.call_id = n.call_id) THEN 'linked' ELSE 'no_result' END
+    WHEN d.call_id IS NULL THEN 'no_call' ELSE 'linked' END AS status,
+  CASE WHEN n.valid THEN '' ELSE '$.text: not of type string' END AS problems
+FROM n LEFT JOIN depth d ON d.call_id = n.call_id
+"""
+
+
 def op5_sql() -> str:
     """Every rule over every text that holds its keywords, with intervals compared by windows."""
 
@@ -118,4 +149,4 @@ def op5_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op5_license_scan": op5_sql(), "op10_substring_dedup": OP10}
+    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op5_license_scan": op5_sql(), "op7_chat_format": OP7, "op10_substring_dedup": OP10}

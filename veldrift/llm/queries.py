@@ -20,7 +20,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    key = spark.conf.get("veldrift.pii.key", "only for tests")  # a real run sets its own key
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_table(spark, sf_dir, "conversations"), stated=True)
+    return chat.format_chats(chat.as_calls(_table(spark, sf_dir, "conversations")), chat.REPLY, stated=True)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
