@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -66,6 +67,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Jobs that run within get at most so many rows in an Arrow batch: for rows of several kilobytes each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the built-in ``lower``, which then does the same, faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -164,6 +177,7 @@ __all__ = [
     "remove",
     "rows_with",
     "scratch_path",
+    "small_batches",
     "stored",
     "word_count",
 ]
