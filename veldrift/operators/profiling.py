@@ -1,7 +1,7 @@
 """Data profiling, quality findings, statistical tests and drift.
 
 Every operator is one or a few aggregations. Column lists come from the schema; values never reach the driver. Tests
-give the statistic and, where a closed form or a short series exists, the p-value.
+give the statistic and its p-value.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.prefix import running_sum
+from ..functions.prefix import running_sum, written
+from ..functions.tails import chi2_tail, correlation_tail, f_tail, normal_two_sided, t_two_sided
 
 
 def numeric(df: DataFrame) -> list[str]:
@@ -170,15 +171,7 @@ def average_ranks(df: DataFrame, x: str, name: str = "rank") -> DataFrame:
     return df.join(ranks, x)
 
 
-# Tests. p-values are columns of elementary functions.
-
-
-def normal_tail(z: Column) -> Column:
-    """Two-sided tail of the normal distribution, by a rational approximation with error under 1.2e-7."""
-    t = 1 / (1 + 0.5 * F.abs(z) / math.sqrt(2))
-    c = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = reduce(lambda acc, k: acc * t + k, c[::-1][1:], F.lit(c[-1]))
-    return t * F.exp(-z * z / 2 + poly)
+# Tests
 
 
 def normality(df: DataFrame, x: str) -> DataFrame:
@@ -202,7 +195,7 @@ def normality(df: DataFrame, x: str) -> DataFrame:
 
 
 def t_test(df: DataFrame, group: str, x: str, a: str, b: str, equal_var: bool = True) -> DataFrame:
-    """Student's or Welch's t of two groups, its degrees of freedom, and Cohen's d with its size."""
+    """Student's or Welch's t of two groups, its degrees of freedom and two-sided p-value, and Cohen's d with its size."""
     at = lambda g, agg: agg(F.when(F.col(group) == g, F.col(x)))
     s = df.agg(*[at(g, f).alias(f"{k}{i}") for i, g in ((1, a), (2, b)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     n1, n2, v1, v2 = F.col("n1"), F.col("n2"), F.col("v1"), F.col("v2")
@@ -212,12 +205,14 @@ def t_test(df: DataFrame, group: str, x: str, a: str, b: str, equal_var: bool =
     dof = (n1 + n2 - 2).cast("double") if equal_var else (se1 + se2) * (se1 + se2) / (se1 * se1 / (n1 - 1) + se2 * se2 / (n2 - 1))
     d = F.when(pooled > 0, (F.col("m1") - F.col("m2")) / F.sqrt(pooled)).otherwise(0.0)
     size = F.when(F.abs(d) < 0.2, "small").when(F.abs(d) < 0.5, "medium").when(F.abs(d) < 0.8, "large").otherwise("very large")
-    return s.select(t.alias("statistic"), dof.alias("dof"), d.alias("cohens_d"), size.alias("effect"))
+    s = s.select(t.alias("statistic"), dof.alias("dof"), d.alias("cohens_d"), size.alias("effect"))
+    return s.withColumn("pvalue", t_two_sided(F.col("statistic"), F.col("dof")))
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
-    return df.agg((F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("statistic"), (F.count(d) - 1).alias("dof"))
+    s = df.agg((F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("statistic"), (F.count(d) - 1).alias("dof"))
+    return s.withColumn("pvalue", t_two_sided(F.col("statistic"), F.col("dof")))
 
 
 def rank_tests(df: DataFrame, group: str, x: str) -> DataFrame:
@@ -229,7 +224,12 @@ def rank_tests(df: DataFrame, group: str, x: str) -> DataFrame:
     h = sums.agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(ties))
     n = F.col("N")
     value = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))
-    return h.select(value.alias("statistic"), (F.col("k") - 1).alias("dof"))
+    return _chi2(h.select(value.alias("statistic"), (F.col("k") - 1).alias("dof")))
+
+
+def _chi2(s: DataFrame) -> DataFrame:
+    """A row of statistic and dof with the p-value of the chi-squared law."""
+    return s.withColumn("pvalue", F.when(F.col("dof") > 0, chi2_tail(F.col("statistic"), F.col("dof"))))
 
 
 def mann_whitney(df: DataFrame, group: str, x: str, a: str, b: str) -> DataFrame:
@@ -245,7 +245,7 @@ def mann_whitney(df: DataFrame, group: str, x: str, a: str, b: str) -> DataFrame
     u = F.col("s") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("t") / (n * (n - 1))))
     z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd
-    return s.select(u.alias("statistic"), F.least(normal_tail(z), F.lit(1.0)).alias("pvalue"))
+    return s.select(u.alias("statistic"), F.least(normal_two_sided(F.greatest(z, F.lit(0.0))), F.lit(1.0)).alias("pvalue"))
 
 
 def anova(df: DataFrame, group: str, x: str) -> DataFrame:
@@ -254,46 +254,88 @@ def anova(df: DataFrame, group: str, x: str) -> DataFrame:
     s = g.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum((F.col("n") - 1) * F.col("v")).alias("w"))
     between = F.col("q") - F.col("t") * F.col("t") / F.col("N")
     f = (between / (F.col("k") - 1)) / (F.col("w") / (F.col("N") - F.col("k")))
-    return s.select(f.alias("statistic"), (F.col("k") - 1).alias("dof_between"), (F.col("N") - F.col("k")).alias("dof_within"))
+    s = s.select(f.alias("statistic"), (F.col("k") - 1).alias("dof_between"), (F.col("N") - F.col("k")).alias("dof_within"))
+    return s.withColumn("pvalue", f_tail(F.col("statistic"), F.col("dof_between"), F.col("dof_within")))
 
 
 def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-squared of a contingency table with its degrees of freedom; with Yates' correction on two by two."""
-    t = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count()
-    rows = t.groupBy(a).agg(F.sum("count").alias("ra"))
-    cols = t.groupBy(b).agg(F.sum("count").alias("cb"))
-    total = t.agg(F.sum("count").alias("n"))
-    dims = rows.agg(F.count(F.lit(1)).alias("ka")).crossJoin(cols.agg(F.count(F.lit(1)).alias("kb"))).crossJoin(total)
-    cells = rows.crossJoin(cols).join(t, [a, b], "left").crossJoin(F.broadcast(dims))  # one row per cell of the table
-    e = F.col("ra") * F.col("cb") / F.col("n")
-    gap = F.abs(F.coalesce("count", F.lit(0)) - e)
-    gap = F.when((F.col("ka") == 2) & (F.col("kb") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    return cells.agg(F.sum(gap * gap / e).alias("statistic"), F.first((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof"))
+    """Chi-squared of a contingency table, its degrees of freedom and p-value; with Yates' correction on two by two.
+
+    Only cells that occur are read: the sum of o^2 / e over them, less the number of rows, is the statistic. On two by
+    two all four gaps are alike, and the margins give the rest.
+    """
+    t = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    rows = t.groupBy("a").agg(F.sum("o").alias("ra"))
+    cols = t.groupBy("b").agg(F.sum("o").alias("cb"))
+    sums = rows.agg(F.sum("ra").alias("n"), F.count(F.lit(1)).alias("ka"), F.sum(1 / F.col("ra")).alias("ia"))
+    sums = sums.crossJoin(cols.agg(F.count(F.lit(1)).alias("kb"), F.sum(1 / F.col("cb")).alias("ib")))  # one row each
+    n = F.col("n")
+    cells = t.join(rows, "a").join(cols, "b").agg(
+        F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("q"), F.first(F.struct("o", "ra", "cb")).alias("one")
+    )
+    s = cells.crossJoin(sums)
+    gap = F.abs(F.col("one.o") - F.col("one.ra") * F.col("one.cb") / n)
+    left = gap - F.least(F.lit(0.5), gap)
+    value = F.when((F.col("ka") == 2) & (F.col("kb") == 2), left * left * n * F.col("ia") * F.col("ib")).otherwise(n * (F.col("q") - 1))
+    return _chi2(s.select(value.alias("statistic"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("dof")))
 
 
 def chi2_fit(df: DataFrame, x: str) -> DataFrame:
     """Chi-squared of a column's counts against equal frequencies."""
-    c = df.groupBy(x).count().agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("count") * F.col("count")).alias("q"))
-    return c.select((F.col("q") * F.col("k") / F.col("n") - F.col("n")).alias("statistic"), (F.col("k") - 1).alias("dof"))
+    return chi2_expected(df, x, None)
+
+
+def chi2_expected(df: DataFrame, x: str, shares: dict[object, float] | None) -> DataFrame:
+    """Chi-squared of a column's counts against expected shares of its values, or equal ones. Values without a share are
+    left out; one that does not occur counts 0."""
+    c = df.groupBy(F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("o"))
+    if shares is None:
+        s = c.agg(F.sum("o").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("o") * F.col("o")).alias("q"))
+        value = F.col("q") * F.col("k") / F.col("n") - F.col("n")
+    else:
+        e = df.sparkSession.createDataFrame(list(shares.items()), f"x {dict(c.dtypes)['x']}, share double")
+        c = e.join(c, "x", "left").withColumn("o", F.coalesce("o", F.lit(0)))
+        s = c.agg(F.sum("o").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("o") * F.col("o") / F.col("share")).alias("q"), F.sum("share").alias("all"))
+        value = F.col("q") * F.col("all") / F.col("n") - F.col("n")
+    return _chi2(s.select(value.alias("statistic"), (F.col("k") - 1).alias("dof")))
+
+
+def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Pearson's r of the rows that have both, and its two-sided p-value."""
+    d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return _correlation(d.agg(F.corr(a, b).alias("statistic"), F.count(F.lit(1)).alias("n")))
+
+
+def _correlation(s: DataFrame) -> DataFrame:
+    return s.withColumn("pvalue", correlation_tail(F.col("statistic"), F.col("n")))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     d = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     r = average_ranks(average_ranks(d, a, "_ra").drop("_ties"), b, "_rb")
-    return r.agg(F.corr("_ra", "_rb").alias("statistic"), F.count(F.lit(1)).alias("n"))
+    return _correlation(r.agg(F.corr("_ra", "_rb").alias("statistic"), F.count(F.lit(1)).alias("n")))
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b over the distinct pairs of values with their counts; meant for columns of few values."""
+    """Kendall's tau-b over the distinct pairs of values with their counts, and its p-value by the normal law with the
+    variance of ties; meant for columns of few values."""
     c = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     o = c.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
     sign = F.signum(F.col("x2") - F.col("x")) * F.signum(F.col("y2") - F.col("y"))
-    s = c.join(o, F.col("x") < F.col("x2")).agg(F.sum(sign * F.col("n") * F.col("n2")).alias("s"))
-    half = lambda col: F.col(col) * (F.col(col) - 1) / 2
-    tx = c.groupBy("x").agg(F.sum("n").alias("m")).agg(F.sum(half("m")).alias("tx"))
-    ty = c.groupBy("y").agg(F.sum("n").alias("m")).agg(F.sum(half("m")).alias("ty"), F.sum("m").alias("n"))
-    every = half("n")
-    return s.crossJoin(tx).crossJoin(ty).select((F.col("s") / F.sqrt((every - F.col("tx")) * (every - F.col("ty")))).alias("statistic"), "n")
+    s = c.join(o, F.col("x") < F.col("x2")).agg(F.coalesce(F.sum(sign * F.col("n") * F.col("n2")), F.lit(0.0)).alias("s"))
+
+    def ties(of: str) -> DataFrame:
+        m = F.col("m").cast("double")
+        return c.groupBy(of).agg(F.sum("n").alias("m")).agg(
+            F.sum(m * (m - 1) / 2).alias(f"t{of}"), F.sum(m * (m - 1) * (m - 2)).alias(f"u{of}"), F.sum(m * (m - 1) * (2 * m + 5)).alias(f"v{of}"), F.sum("m").alias(f"n{of}")
+        )
+
+    d = s.crossJoin(ties("x")).crossJoin(ties("y")).withColumn("n", F.col("nx"))
+    n = F.col("n").cast("double")
+    pairs = n * (n - 1)
+    variance = (pairs * (2 * n + 5) - F.col("vx") - F.col("vy")) / 18 + 2 * F.col("tx") * F.col("ty") / pairs + F.col("ux") * F.col("uy") / (9 * pairs * (n - 2))
+    tau = F.col("s") / F.sqrt((pairs / 2 - F.col("tx")) * (pairs / 2 - F.col("ty")))
+    return d.select(tau.alias("statistic"), "n", normal_two_sided(F.col("s") / F.sqrt(variance)).alias("pvalue"))
 
 
 # Drift
@@ -330,6 +372,7 @@ def mean_shift(df: DataFrame, names: list[str], reference: Column, current: Colu
 def ks(df: DataFrame, x: str, reference: Column, current: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and its asymptotic p-value. Counts are by value, then cumulated."""
     c = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.sum(reference.cast("long")).alias("r"), F.sum(current.cast("long")).alias("c"))
+    c = written(c, "values")  # read three times
     c = running_sum(running_sum(c, "x", "r", "_r"), "x", "c", "_c")
     totals = c.agg(F.sum("r").alias("n"), F.sum("c").alias("m"))
     gap = F.abs(F.col("_r") / F.col("n") - F.col("_c") / F.col("m"))
@@ -347,6 +390,46 @@ def frequency_shift(df: DataFrame, x: str, reference: Column, current: Column) -
     return r.join(c, x, "full").select(x, F.coalesce("n_reference", F.lit(0)).alias("n_reference"), F.coalesce("n_current", F.lit(0)).alias("n_current"))
 
 
+def column_drift(df: DataFrame, numbers: list[str], texts: list[str], reference: Column, current: Column, least: int = 5) -> DataFrame:
+    """Drift of each column between two parts: (column, test, statistic, pvalue, drift). Numbers by Kolmogorov and
+    Smirnov, texts by chi-squared of part against value; a column with fewer than ``least`` values in a part is left
+    out. Drift is a p-value under 0.05."""
+    parts = df.withColumn("_part", F.when(reference, "reference").when(current, "current")).filter("_part is not null")
+    enough = parts.agg(*[F.count(F.when(F.col("_part") == p, F.col(c))).alias(f"{c}__{p}") for c in [*numbers, *texts] for p in ("reference", "current")]).first()
+    out = []
+    for c in [*numbers, *texts]:
+        if min(enough[f"{c}__reference"], enough[f"{c}__current"]) < least:
+            continue
+        test = ks(parts, c, F.col("_part") == "reference", F.col("_part") == "current") if c in numbers else chi2_independence(parts, "_part", c)
+        out.append(test.select(F.lit(c).alias("column"), F.lit("ks" if c in numbers else "chi2").alias("test"), "statistic", "pvalue", (F.col("pvalue") < 0.05).alias("drift")))
+    empty = df.sparkSession.createDataFrame([], "column string, test string, statistic double, pvalue double, drift boolean")
+    return reduce(DataFrame.unionByName, out, empty)
+
+
+def skewed(df: DataFrame, names: list[str], limit: float = 1.0) -> DataFrame:
+    """(column, skew) of the columns whose bias-corrected skewness is beyond ``limit`` either way; by one aggregation."""
+    n = lambda c: F.count(c).cast("double")
+    skew = lambda c: F.when(n(c) > 2, F.skewness(c) * F.sqrt(n(c) * (n(c) - 1)) / F.nullif(n(c) - 2, F.lit(0.0)))
+    return _long(df.agg(*[skew(c).alias(f"{c}__skew") for c in names]), names, ["skew"]).filter(F.abs("skew") > limit)
+
+
+def statistical_summary(df: DataFrame, names: list[str], most_tested: int = 20, most_paired: int = 10, least: int = 8, strong: float = 0.7) -> DataFrame:
+    """(kind, a, b, value): ``normality`` p-values of the first ``most_tested`` columns with ``least`` values, and
+    ``correlation`` of pairs of the first ``most_paired`` columns beyond ``strong``."""
+    counts = df.agg(*[F.count(c).alias(c) for c in names]).first()
+    out = [normality(df, c).select(F.lit("normality").alias("kind"), F.lit(c).alias("a"), F.lit(None).cast("string").alias("b"), F.col("pvalue").alias("value")) for c in names[:most_tested] if counts[c] >= least]
+    out.append(correlated_pairs(df, names[:most_paired], strong).filter(F.abs("r") > strong).select(F.lit("correlation").alias("kind"), "a", "b", F.col("r").alias("value")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def performance_change(current: DataFrame, baseline: DataFrame, key: list[str], metrics: list[str]) -> DataFrame:
+    """Metrics of both tables by key with their differences, current less baseline: <metric>, <metric>_baseline,
+    <metric>_delta (rounded to 4). Keys of one table alone have null differences."""
+    old = baseline.select(*key, *[F.col(m).alias(f"{m}_baseline") for m in metrics])
+    d = current.select(*key, *metrics).join(old, key, "full")
+    return d.withColumns({f"{m}_delta": F.round(F.col(m) - F.col(f"{m}_baseline"), 4) for m in metrics})
+
+
 def alerts(drift: DataFrame) -> DataFrame:
     """A JSON alert for each drifted column."""
     bad = drift.filter("verdict <> 'none'")

@@ -123,46 +123,121 @@ R.table(
     {"ticker": None, "rows": None, "nulls_ma_200": None, "first": None, "last": None, "mean_return": 4},
 )
 
-# Tests
+# Tests. p-values in SQL are integrals of the density over the tail, by midpoints.
+MIDPOINTS = 20_000
+
+
+def _tail(density: str, start: str) -> str:
+    """The integral of ``density`` (of @) from ``start`` to infinity."""
+    at = f"({start} + (i + 0.5) / ({MIDPOINTS} - i - 0.5))"
+    return f"(SELECT sum(({density.replace('@', at)}) * {MIDPOINTS}::DOUBLE / (({MIDPOINTS} - i - 0.5) * ({MIDPOINTS} - i - 0.5))) FROM range({MIDPOINTS}) g(i))"
+
+
+def t_sql(t: str, dof: str) -> str:
+    return "2 * " + _tail(f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0) - ln(pi() * {dof}) / 2 - ({dof} + 1) / 2.0 * ln(1 + @ * @ / {dof}))", f"abs({t})")
+
+
+def chi2_sql(x: str, dof: str) -> str:
+    return _tail(f"exp(({dof} / 2.0 - 1) * ln(@) - @ / 2 - {dof} / 2.0 * ln(2) - lgamma({dof} / 2.0))", x)
+
+
+def f_sql(x: str, a: str, b: str) -> str:
+    return _tail(f"exp(lgamma(({a} + {b}) / 2.0) - lgamma({a} / 2.0) - lgamma({b} / 2.0) + {a} / 2.0 * ln({a} / {b}::DOUBLE) + ({a} / 2.0 - 1) * ln(@) - ({a} + {b}) / 2.0 * ln(1 + {a} * @ / {b}))", x)
+
+
+def normal_sql(z: str) -> str:
+    return "2 * " + _tail("exp(-@ * @ / 2) / sqrt(2 * pi())", f"abs({z})")
+
+
+def r_sql(r: str, n: str) -> str:
+    return t_sql(f"({r} * sqrt(({n} - 2) / (1 - {r} * {r})))", f"({n} - 2)")
+
+
+def with_p(p: str, source: str) -> str:
+    return f"(SELECT *, {p} AS pvalue FROM {source} q)"
+
+
 R.table(
     "t_test", lambda s, d: prof.t_test(base(s, d), "ticker", "log_volume", "A", "N").unionByName(prof.t_test(base(s, d), "ticker", "log_volume", "A", "N", False)),
     BASE + """, g AS (SELECT count(log_volume) FILTER (ticker = 'A') AS n1, count(log_volume) FILTER (ticker = 'N') AS n2, avg(log_volume) FILTER (ticker = 'A') AS m1, avg(log_volume) FILTER (ticker = 'N') AS m2,
       var_samp(log_volume) FILTER (ticker = 'A') AS v1, var_samp(log_volume) FILTER (ticker = 'N') AS v2 FROM base), p AS (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS pool FROM g)""",
-    """(SELECT (m1 - m2) / sqrt(pool * (1 / n1 + 1 / n2)) AS statistic, CAST(n1 + n2 - 2 AS DOUBLE) AS dof, (m1 - m2) / sqrt(pool) AS cohens_d FROM p
-      UNION ALL SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2), pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), (m1 - m2) / sqrt(pool) FROM p)""",
-    {"statistic": 5, "dof": 3, "cohens_d": 6},
+    with_p(t_sql('statistic', 'dof'), """(SELECT (m1 - m2) / sqrt(pool * (1 / n1 + 1 / n2)) AS statistic, CAST(n1 + n2 - 2 AS DOUBLE) AS dof, (m1 - m2) / sqrt(pool) AS cohens_d FROM p
+      UNION ALL SELECT (m1 - m2) / sqrt(v1 / n1 + v2 / n2), pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), (m1 - m2) / sqrt(pool) FROM p)"""),
+    {"statistic": 5, "dof": 3, "cohens_d": 6, "pvalue": 6},
 )
-R.table("paired_t", lambda s, d: prof.paired_t(base(s, d), "open", "close"), BASE, "(SELECT avg(open - close) / (stddev_samp(open - close) / sqrt(count(*))) AS statistic, count(*) - 1 AS dof FROM base)", {"statistic": 6, "dof": None})
+R.table("paired_t", lambda s, d: prof.paired_t(base(s, d), "open", "close"), BASE, with_p(t_sql('statistic', 'dof'), "(SELECT avg(open - close) / (stddev_samp(open - close) / sqrt(count(*))) AS statistic, count(*) - 1 AS dof FROM base)"), {"statistic": 6, "dof": None, "pvalue": 6})
 R.table(
     "anova", lambda s, d: prof.anova(base(s, d), "ticker", "log_volume"), BASE + ", g AS (SELECT ticker, count(*) AS n, avg(log_volume) AS m, var_samp(log_volume) AS v FROM base GROUP BY 1)",
-    """(SELECT ((sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) AS statistic, count(*) - 1 AS dof_between, CAST(sum(n) - count(*) AS BIGINT) AS dof_within FROM g)""",
-    {"statistic": 4, "dof_between": None, "dof_within": None},
+    with_p(f_sql('statistic', 'dof_between', 'dof_within'), """(SELECT ((sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) AS statistic, count(*) - 1 AS dof_between, CAST(sum(n) - count(*) AS BIGINT) AS dof_within FROM g)"""),
+    {"statistic": 4, "dof_between": None, "dof_within": None, "pvalue": 6},
 )
 RANKS = ", r AS (SELECT ticker, volume, rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0 AS rk FROM base WHERE {c}), ties AS (SELECT sum(pow(c, 3) - c)::DOUBLE AS t, sum(c)::DOUBLE AS n FROM (SELECT count(*) AS c FROM base WHERE {c} GROUP BY volume))"
 R.table(
     "kruskal", lambda s, d: prof.rank_tests(base(s, d), "ticker", "volume"), BASE + RANKS.format(c="TRUE") + ", g AS (SELECT ticker, sum(rk)::DOUBLE AS s, count(*) AS n FROM r GROUP BY 1)",
-    "(SELECT (12 / (min(ties.n) * (min(ties.n) + 1)) * sum(s * s / g.n) - 3 * (min(ties.n) + 1)) / (1 - min(t) / (pow(min(ties.n), 3) - min(ties.n))) AS statistic, count(*) - 1 AS dof FROM g, ties)", {"statistic": 4, "dof": None},
+    with_p(chi2_sql('statistic', 'dof'), "(SELECT (12 / (min(ties.n) * (min(ties.n) + 1)) * sum(s * s / g.n) - 3 * (min(ties.n) + 1)) / (1 - min(t) / (pow(min(ties.n), 3) - min(ties.n))) AS statistic, count(*) - 1 AS dof FROM g, ties)"), {"statistic": 4, "dof": None, "pvalue": 6},
 )
 R.table(
     "mann_whitney", lambda s, d: prof.mann_whitney(base(s, d), "ticker", "volume", "A", "N"), BASE + RANKS.format(c="ticker IN ('A', 'N')"),
-    "(SELECT sum(rk) FILTER (ticker = 'A') - count(*) FILTER (ticker = 'A') * (count(*) FILTER (ticker = 'A') + 1) / 2 AS statistic FROM r)", {"statistic": 3},
+    with_p(f"least(1.0, {normal_sql('z')})", """(SELECT u AS statistic, greatest(0, (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties.t / ((n1 + n2) * (n1 + n2 - 1))))) AS z FROM
+      (SELECT sum(rk) FILTER (ticker = 'A') - n1 * (n1 + 1) / 2 AS u, n1, n2 FROM r, (SELECT count(*) FILTER (ticker = 'A')::DOUBLE AS n1, count(*) FILTER (ticker = 'N')::DOUBLE AS n2 FROM r) GROUP BY n1, n2), ties)"""),
+    {"statistic": 3, "pvalue": 6},
 )
 R.table(
     "chi2_independence", lambda s, d: prof.chi2_independence(orders(s, d), "o_orderstatus", "o_orderpriority"),
     "t AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS c FROM orders GROUP BY 1, 2), r AS (SELECT a, sum(c)::DOUBLE AS ra FROM t GROUP BY 1), k AS (SELECT b, sum(c)::DOUBLE AS cb FROM t GROUP BY 1), n AS (SELECT sum(c)::DOUBLE AS n FROM t)",
-    "(SELECT sum(pow(coalesce(c, 0) - ra * cb / n, 2) / (ra * cb / n)) AS statistic, (count(DISTINCT r.a) - 1) * (count(DISTINCT k.b) - 1) AS dof FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN t ON t.a = r.a AND t.b = k.b)", {"statistic": 5, "dof": None},
+    with_p(chi2_sql('statistic', 'dof'), "(SELECT sum(pow(coalesce(c, 0) - ra * cb / n, 2) / (ra * cb / n)) AS statistic, (count(DISTINCT r.a) - 1) * (count(DISTINCT k.b) - 1) AS dof FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN t ON t.a = r.a AND t.b = k.b)"), {"statistic": 5, "dof": None, "pvalue": 6},
 )
-R.table("chi2_fit", lambda s, d: prof.chi2_fit(orders(s, d), "o_orderpriority"), "c AS (SELECT count(*) AS c FROM orders GROUP BY o_orderpriority)", "(SELECT sum(c * c)::DOUBLE * count(*) / sum(c) - sum(c) AS statistic, count(*) - 1 AS dof FROM c)", {"statistic": 6, "dof": None})
+R.table("chi2_fit", lambda s, d: prof.chi2_fit(orders(s, d), "o_orderpriority"), "c AS (SELECT count(*) AS c FROM orders GROUP BY o_orderpriority)", with_p(chi2_sql('statistic', 'dof'), "(SELECT sum(c * c)::DOUBLE * count(*) / sum(c) - sum(c) AS statistic, count(*) - 1 AS dof FROM c)"), {"statistic": 6, "dof": None, "pvalue": 6})
 R.table(
     "spearman", lambda s, d: prof.spearman(base(s, d), "volume", "close"),
-    BASE, "(SELECT corr(a, b) AS statistic, count(*) AS n FROM (SELECT rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0 AS a, rank() OVER (ORDER BY close) + (count(*) OVER (PARTITION BY close) - 1) / 2.0 AS b FROM base))", {"statistic": 6, "n": None},
+    BASE, with_p(r_sql('statistic', 'n'), "(SELECT corr(a, b) AS statistic, count(*) AS n FROM (SELECT rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0 AS a, rank() OVER (ORDER BY close) + (count(*) OVER (PARTITION BY close) - 1) / 2.0 AS b FROM base))"), {"statistic": 6, "n": None, "pvalue": 6},
 )
 R.table(
     "kendall", lambda s, d: prof.kendall(lineitem(s, d), "l_discount", "l_tax"),
-    "c AS (SELECT l_discount AS x, l_tax AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), tx AS (SELECT sum(m * (m - 1) / 2) AS t FROM (SELECT sum(n)::DOUBLE AS m FROM c GROUP BY x)), ty AS (SELECT sum(m * (m - 1) / 2) AS t, sum(m) AS n FROM (SELECT sum(n)::DOUBLE AS m FROM c GROUP BY y))",
-    "(SELECT s / sqrt((ty.n * (ty.n - 1) / 2 - tx.t) * (ty.n * (ty.n - 1) / 2 - ty.t)) AS statistic, CAST(ty.n AS BIGINT) AS n FROM (SELECT sum(sign(b.x - a.x) * sign(b.y - a.y) * a.n * b.n)::DOUBLE AS s FROM c a JOIN c b ON a.x < b.x), tx, ty)", {"statistic": 8, "n": None},
+    "c AS (SELECT l_discount AS x, l_tax AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), " + ", ".join(f"t{k} AS (SELECT sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS u, sum(m * (m - 1) * (2 * m + 5)) AS v, sum(m) AS n FROM (SELECT sum(n)::DOUBLE AS m FROM c GROUP BY {k}))" for k in "xy"),
+    with_p(normal_sql("z"), """(SELECT s / sqrt((p / 2 - tx.t) * (p / 2 - ty.t)) AS statistic, CAST(ty.n AS BIGINT) AS n, s / sqrt((p * (2 * ty.n + 5) - tx.v - ty.v) / 18 + 2 * tx.t * ty.t / p + tx.u * ty.u / (9 * p * (ty.n - 2))) AS z FROM
+      (SELECT sum(sign(b.x - a.x) * sign(b.y - a.y) * a.n * b.n)::DOUBLE AS s FROM c a JOIN c b ON a.x < b.x), tx, ty, (SELECT n * (n - 1) AS p FROM ty))"""),
+    {"statistic": 8, "n": None, "pvalue": 6},
+)
+R.table(
+    "pearson", lambda s, d: prof.pearson(base(s, d), "volume", "return"), BASE,
+    with_p(r_sql("statistic", "n"), """(SELECT corr(volume, "return") AS statistic, count(*) AS n FROM base WHERE volume IS NOT NULL AND "return" IS NOT NULL)"""), {"statistic": 6, "n": None, "pvalue": 6},
+)
+R.table(
+    "yates", lambda s, d: prof.chi2_independence(orders(s, d).select((F.col("o_totalprice") > 150000).alias("large"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent")), "large", "urgent"),
+    "t AS (SELECT o_totalprice > 150000 AS a, o_orderpriority = '1-URGENT' AS b FROM orders), m AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (a)::DOUBLE AS a, count(*) FILTER (b)::DOUBLE AS b, count(*) FILTER (a AND b)::DOUBLE AS ab FROM t), g AS (SELECT *, abs(ab - a * b / n) AS g FROM m)",
+    with_p(chi2_sql("statistic", "dof"), "(SELECT pow(g - least(0.5, g), 2) * (n / (a * b) + n / (a * (n - b)) + n / ((n - a) * b) + n / ((n - a) * (n - b))) AS statistic, 1 AS dof FROM g)"), {"statistic": 6, "dof": None, "pvalue": 6},
+)
+SHARES = {"1-URGENT": 0.3, "2-HIGH": 0.2, "3-MEDIUM": 0.2, "4-NOT SPECIFIED": 0.2, "5-LOW": 0.1}
+R.table(
+    "chi2_expected", lambda s, d: prof.chi2_expected(orders(s, d), "o_orderpriority", SHARES),
+    "e(x, share) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in SHARES.items()) + "), c AS (SELECT share, count(o_orderkey)::DOUBLE AS o FROM e LEFT JOIN orders ON o_orderpriority = x GROUP BY x, share)",
+    with_p(chi2_sql("statistic", "dof"), "(SELECT sum(pow(o - n * share, 2) / (n * share)) AS statistic, count(*) - 1 AS dof FROM c, (SELECT sum(o) AS n FROM c))"), {"statistic": 6, "dof": None, "pvalue": 6},
+)
+
+
+def _normality_sql(x: str, source: str) -> str:
+    """D'Agostino and Pearson's statistic from central moments."""
+    return f"""(SELECT z1 * z1 + z2 * z2 AS statistic, exp(-(z1 * z1 + z2 * z2) / 2) AS pvalue, exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AS normal FROM (SELECT asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))) AS z1,
+      (1 - 2 / (9 * a) - sign((1 - 2 / a) / (1 + sd * sqrt(2 / (a - 4)))) * pow(abs((1 - 2 / a) / (1 + sd * sqrt(2 / (a - 4)))), 1.0 / 3)) / sqrt(2 / (9 * a)) AS z2 FROM
+      (SELECT *, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS a, sqrt(2 * (beta - 1)) - 1 AS w2 FROM
+      (SELECT *, b1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+        (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS sd,
+        6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM
+      (SELECT count({x})::DOUBLE AS n, avg(pow({x} - m, 3)) / pow(avg(pow({x} - m, 2)), 1.5) AS b1, avg(pow({x} - m, 4)) / pow(avg(pow({x} - m, 2)), 2) AS b2 FROM {source}, (SELECT avg({x}) AS m FROM {source}))))))"""
+
+
+R.table("normality", lambda s, d: prof.normality(base(s, d), "log_volume"), BASE, _normality_sql("log_volume", "base"), {"statistic": 4, "pvalue": 8, "normal": None})
+R.table(
+    "skewed_columns", lambda s, d: prof.skewed(base(s, d).select("open", "volume", "return"), ["open", "volume", "return"], 0.0), BASE,
+    "(" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", skewness("{c}") AS skew FROM base""" for c in ("open", "volume", "return")) + ")", {"column": None, "skew": 5},
+)
+R.table(
+    "statistical_summary", lambda s, d: prof.statistical_summary(base(s, d), ["log_volume", "open", "close"]), BASE,
+    "(" + " UNION ALL ".join(f"SELECT 'normality' AS kind, '{c}' AS a, NULL AS b, pvalue AS value FROM {_normality_sql(c, 'base')}" for c in ("log_volume", "open", "close"))
+    + " UNION ALL SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'correlation' AS kind, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS value FROM base" for a, b in (("log_volume", "open"), ("log_volume", "close"), ("open", "close"))) + ") WHERE abs(value) > 0.7)",
+    {"kind": None, "a": None, "b": None, "value": 6},
 )
-R.rows_only("normality", lambda s, d: prof.normality(base(s, d), "log_volume"))
 
 # Drift: the first 80 % of each series against its last 60 rows
 COLS = ["return", "volatility", "rsi", "log_volume"]
@@ -203,4 +278,25 @@ R.table(
     "frequency_shift", lambda s, d: prof.frequency_shift(orders(s, d), "o_orderpriority", F.col("o_orderdate") < "1996-06-01", F.col("o_orderdate") >= "1996-06-01"), "",
     "(SELECT o_orderpriority, count(*) FILTER (o_orderdate < '1996-06-01') AS n_reference, count(*) FILTER (o_orderdate >= '1996-06-01') AS n_current FROM orders GROUP BY 1)", {"o_orderpriority": None, "n_reference": None, "n_current": None},
 )
-R.rows_only("drift_alerts", lambda s, d: prof.alerts(prof.psi(placed(s, d), COLS, F.expr(REF), F.expr(CUR))))
+R.table(
+    "drift_alerts", lambda s, d: prof.alerts(prof.psi(placed(s, d), COLS, F.expr(REF), F.expr(CUR))), PSI,
+    """(SELECT "column", '{"column":' || to_json("column") || ',"psi":' || CAST(round(psi, 4) AS VARCHAR) || ',"verdict":"' || CASE WHEN psi >= 0.25 THEN 'significant' ELSE 'moderate' END || '"}' AS alert FROM psi WHERE psi >= 0.1)""",
+    {"column": None, "alert": None},
+)
+OLD, NEW = F.col("o_orderdate") < "1996-06-01", F.col("o_orderdate") >= "1996-06-01"
+R.table(
+    "column_drift", lambda s, d: prof.column_drift(orders(s, d).withColumn("none", F.lit(None).cast("double")), ["o_totalprice", "none"], ["o_orderpriority"], OLD, NEW).select("column", "test", "statistic", "drift"),
+    """o AS (SELECT *, o_orderdate < '1996-06-01' AS r FROM orders), c AS (SELECT o_orderpriority AS x, r, count(*)::DOUBLE AS o FROM o GROUP BY 1, 2),
+    e AS (SELECT o, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY r) / sum(o) OVER () AS e FROM c), chi AS (SELECT sum(pow(o - e, 2) / e) AS statistic, 4 AS dof FROM e),
+    k AS (SELECT max(abs(a - b)) AS statistic, min(n) AS n, min(m) AS m FROM (SELECT sum(r::INT) OVER w / n AS a, sum((NOT r)::INT) OVER w / m AS b, n, m FROM o, (SELECT sum(r::INT)::DOUBLE AS n, sum((NOT r)::INT)::DOUBLE AS m FROM o) WINDOW w AS (ORDER BY o_totalprice RANGE UNBOUNDED PRECEDING)))""",
+    f"""(SELECT 'o_orderpriority' AS "column", 'chi2' AS test, statistic, {chi2_sql('statistic', 'dof')} < 0.05 AS drift FROM chi
+      UNION ALL SELECT 'o_totalprice', 'ks', statistic, (sqrt(n * m / (n + m)) + 0.12 + 0.11 / sqrt(n * m / (n + m))) * statistic > 1.3581 FROM k)""",
+    {"column": None, "test": None, "statistic": 6, "drift": None},
+)
+R.table(
+    "performance_change",
+    lambda s, d: prof.performance_change(*[base(s, d).filter(c).groupBy("ticker").agg(F.avg("return").alias("mean"), F.stddev_samp("return").alias("sd")) for c in ("volume > 0 and minute(timestamp) % 2 = 0", "volume > 0 and minute(timestamp) % 3 = 0")], ["ticker"], ["mean", "sd"]),
+    BASE + ", " + ", ".join(f"""{n} AS (SELECT ticker, avg("return") AS mean, stddev_samp("return") AS sd FROM base WHERE volume > 0 AND minute("timestamp") % {k} = 0 GROUP BY 1)""" for n, k in (("now", 2), ("old", 3))),
+    "(SELECT coalesce(now.ticker, old.ticker) AS ticker, now.mean, old.mean AS mean_baseline, round(now.mean - old.mean, 4) AS mean_delta, now.sd, old.sd AS sd_baseline, round(now.sd - old.sd, 4) AS sd_delta FROM now FULL JOIN old ON now.ticker = old.ticker)",
+    {"ticker": None, "mean": 6, "mean_baseline": 6, "mean_delta": 3, "sd": 6, "sd_baseline": 6, "sd_delta": 3},
+)
