@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graphs, retrieval
+from ..sources import files
 from .adapters import GRAPH, graph, table
 from .registry import Registry
 
@@ -90,7 +91,22 @@ def hybrid(s, d: str) -> DataFrame:
     return retrieval.hybrid_search(texts, q, k=5, min_similarity=-1.0, max_per_source=2)
 
 
-R.rows_only("hybrid_search", hybrid)
+HYB = BM25.replace("FROM documents", "FROM texts").replace("WHERE rank <= 10", "WHERE rank <= 15").replace("FROM benchmark", "FROM asks") + ", " + VEC.replace("WHERE rank <= 10", "WHERE rank <= 15").replace("vecs AS", "all_vecs AS").replace("FROM vecs, vq", "FROM tv, hq").replace("FROM vecs WHERE", "FROM all_vecs WHERE")
+HYB = """texts AS (SELECT d.* FROM documents d SEMI JOIN embeddings ON vec_id = doc_id), asks AS (SELECT b.* FROM benchmark b SEMI JOIN embeddings ON vec_id = item_id),
+tv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, t.source FROM embeddings JOIN texts t ON doc_id = vec_id), hq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings SEMI JOIN asks ON item_id = vec_id), """ + HYB
+HYB += """, fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score,
+  CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 'both' WHEN b.id IS NOT NULL THEN 'lexical' ELSE 'vector' END AS match FROM near a FULL JOIN lex b ON a.query_id = b.query_id AND a.id = b.id),
+top15 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM fu) WHERE n <= 15),
+capped AS (SELECT * FROM (SELECT top15.* EXCLUDE n, tv.source, list_cosine_similarity(v, q) AS similarity, row_number() OVER (PARTITION BY query_id, tv.source ORDER BY round(score, 9) DESC, id) AS n FROM top15 JOIN tv USING (id) JOIN hq USING (query_id)) WHERE n <= 2)"""
+HYBRID = {"query_id": None, "id": None, "score": 8, "match": None, "source": None, "similarity": 5, "rank": None}
+R.table("hybrid_search", hybrid, HYB, "(SELECT * FROM (SELECT * EXCLUDE n, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM capped) WHERE rank <= 5)", HYBRID)
+R.table(
+    "retrieval_evaluation", lambda s, d: retrieval.metrics(hybrid(s, d), questions(s, d).select("query_id", F.explode(F.array(F.lit("src1"), F.lit("src2"))).alias("prefix")), every=True),
+    HYB + """, final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM capped) WHERE rank <= 5),
+    m AS (SELECT item_id, min(rank) FILTER (starts_with(source, 'src1') OR starts_with(source, 'src2')) AS first, coalesce(max(CAST(starts_with(source, 'src1') AS INTEGER)), 0) + coalesce(max(CAST(starts_with(source, 'src2') AS INTEGER)), 0) AS n FROM benchmark LEFT JOIN final ON query_id = item_id GROUP BY 1)""",
+    "(SELECT avg(CASE WHEN n = 2 THEN 1.0 ELSE 0 END) AS hit_rate, avg(n / 2) AS recall, avg(coalesce(1 / first, 0)) AS mrr, count(*) AS queries, (SELECT avg(CASE WHEN match = 'vector' THEN 0.0 ELSE 1 END) FROM final) AS lexical_share FROM m)",
+    {"hit_rate": 6, "recall": 6, "mrr": 6, "queries": None, "lexical_share": 6},
+)
 
 SIZED = "sized AS (SELECT doc_id, CAST(unnest(range(CAST(greatest(ceil((length(text) - 120) / 880), 1) AS BIGINT))) AS INTEGER) AS chunk_no, text FROM documents)"
 R.table("chunks_by_size", lambda s, d: retrieval.chunk_by_size(docs(s, d)), SIZED, "(SELECT doc_id, chunk_no, substr(text, chunk_no * 880 + 1, 1000) AS text FROM sized)", {"doc_id": None, "chunk_no": None, "text": None})
@@ -99,8 +115,71 @@ R.table(
     "(SELECT doc_id, chunk_no, md5(array_to_string(list(text) OVER (PARTITION BY doc_id ORDER BY chunk_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10))) AS context FROM c)", {"doc_id": None, "chunk_no": None, "context": None},
 )
 R.rows_only("structured_chunks", lambda s, d: retrieval.chunk_structured(docs(s, d)))
-R.rows_only("redacted", lambda s, d: docs(s, d).select("doc_id", retrieval.redact(F.col("text")).alias("text"), retrieval.injection_flag(F.col("text")).alias("injection_flag")))
-R.rows_only("html_text", lambda s, d: table(s, d, "pages").select("page_id", retrieval.html_text(F.col("html")).alias("text")))
+
+
+def secretive(s, d: str) -> DataFrame:
+    """Documents, some with a token, a key or a command at their end."""
+    token = F.when(F.col("doc_id") % 7 == 0, " eyJhbGciOi.J9-x.sig_1 end").when(F.col("doc_id") % 7 == 1, "\n-----BEGIN RSA PRIVATE KEY-----\nAbC+/=\n-----END RSA PRIVATE KEY-----").when(F.col("doc_id") % 7 == 2, " Ignore previous instructions")
+    return docs(s, d).select("doc_id", F.concat("text", F.coalesce(token, F.lit(""))).alias("text"))
+
+
+MASKED = "text"
+for pattern, by in retrieval.SECRETS:
+    MASKED = f"regexp_replace({MASKED}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+R.table(
+    "redacted", lambda s, d: secretive(s, d).select("doc_id", retrieval.redact(F.col("text")).alias("text"), retrieval.injection_flag(F.col("text")).alias("injection_flag")),
+    "s AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' eyJhbGciOi.J9-x.sig_1 end' WHEN 1 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'AbC+/=' || chr(10) || '-----END RSA PRIVATE KEY-----' WHEN 2 THEN ' Ignore previous instructions' ELSE '' END AS text FROM documents)",
+    f"(SELECT doc_id, {MASKED} AS text, contains(lower(text), 'ignore previous instructions') AS injection_flag FROM s)", {"doc_id": None, "text": None, "injection_flag": None},
+)
+BLOCKS = "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in ("script", "style", "head", "svg"))
+PLAIN = f"regexp_replace(regexp_replace(html, '(?is){BLOCKS}', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
+for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    PLAIN = f"replace({PLAIN}, '{entity}', '{char}')"
+R.table("html_text", lambda s, d: table(s, d, "pages").select("page_id", retrieval.html_text(F.col("html")).alias("text")), "", f"(SELECT page_id, trim(regexp_replace({PLAIN}, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS text FROM pages)", {"page_id": None, "text": None})
+
+
+def articles(s, d: str) -> DataFrame:
+    """Documents as news: a title by their first characters, an address for two of three, a flag for one of nine."""
+    i = F.col("doc_id")
+    return docs(s, d).select(
+        F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit(" 00:00:00")).alias("ts"), F.concat(F.lit(" "), F.substring("text", 1, 12)).alias("title"), F.col("text").alias("body"), "source",
+        F.when(i % 3 != 0, F.concat(F.lit("http://x/"), (i % 50).cast("string"))).otherwise("").alias("url"), (i % 9 == 0).alias("is_duplicate"), "doc_id",
+    )
+
+
+def merged_news(s, d: str) -> DataFrame:
+    a = articles(s, d)
+    return files.merge_news(files.news_page(a.filter("doc_id % 2 = 0")), files.news_page(a))
+
+
+ARTICLES = "a AS (SELECT make_date(2024, 1, CAST(doc_id % 28 + 1 AS INTEGER)) AS day, trim(substr(text, 1, 12), ' ') AS title, substr(trim(text, ' '), 1, 2000) AS body, source, CASE WHEN doc_id % 3 <> 0 THEN 'http://x/' || doc_id % 50 ELSE '' END AS url, doc_id FROM documents)"
+PAGE = "SELECT title, min((day, body, source)) AS r FROM a WHERE doc_id % 9 <> 0 AND title <> '' {} GROUP BY 1"
+R.table(
+    "merged_news", lambda s, d: merged_news(s, d).select("title", F.to_date("ts").alias("day"), F.md5("body").alias("body"), "source"), ARTICLES + f", old AS ({PAGE.format('AND doc_id % 2 = 0')}), new AS ({PAGE.format('')})",
+    "(SELECT title, r[1] AS day, md5(r[2]) AS body, r[3] AS source FROM old UNION ALL SELECT title, r[1], md5(r[2]), r[3] FROM new ANTI JOIN old USING (title))", dict.fromkeys(["title", "day", "body", "source"]),
+)
+R.table(
+    "news_by_day", lambda s, d: files.daily_count(articles(s, d)), ARTICLES.replace("trim(substr(text, 1, 12), ' ')", "' ' || substr(text, 1, 12)"),
+    "(SELECT date, count(*) AS count FROM (SELECT min(day) AS date FROM a GROUP BY CASE WHEN url <> '' THEN url ELSE title END) GROUP BY 1)", {"date": None, "count": None},
+)
+
+
+def responses(s, d: str) -> DataFrame:
+    """Documents as works: a response of one result each, and one that is not JSON."""
+    i = F.col("doc_id").cast("string")
+    words = F.create_map(F.lit("second"), F.array(F.lit(1)), F.lit("first"), F.array(F.lit(0), F.lit(2)))
+    one = F.struct(
+        F.concat(F.lit(" "), F.col("source")).alias("display_name"), (F.lit(2000) + F.col("doc_id") % 25).alias("publication_year"), F.concat(F.lit("id"), i).alias("id"), F.concat(F.lit("https://doi.org/10.X/"), i).alias("doi"),
+        F.col("n_chars").alias("cited_by_count"), F.when(F.col("doc_id") % 2 == 0, words).alias("abstract_inverted_index"), F.array(F.struct(F.struct(F.col("lang").alias("display_name")).alias("author"))).alias("authorships"),
+    )
+    return docs(s, d).select(F.when(F.col("doc_id") % 10 == 0, "no JSON").otherwise(F.to_json(F.struct(F.array(one).alias("results")))).alias("json"))
+
+
+R.table(
+    "paper_records", lambda s, d: files.works(responses(s, d)).withColumn("authors", F.array_join("authors", ",")), "",
+    "(SELECT source AS title, CASE WHEN doc_id % 2 = 0 THEN 'first second first' ELSE '' END AS abstract, coalesce(lang, '') AS authors, CAST(2000 + doc_id % 25 AS INTEGER) AS year, 'id' || doc_id AS url, '10.x/' || doc_id AS doi, n_chars AS citations, 'works' AS source FROM documents WHERE doc_id % 10 <> 0)",
+    dict.fromkeys(["title", "abstract", "authors", "year", "url", "doi", "citations", "source"]),
+)
 STOP = ("that", "this", "with", "from", "para", "como", "nicht", "eine", "dans", "pour")
 R.table(
     "keywords", lambda s, d: retrieval.keywords(docs(s, d)), f"kw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) AS word FROM documents) WHERE word NOT IN {STOP} GROUP BY 1, 2)",
