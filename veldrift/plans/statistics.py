@@ -283,9 +283,9 @@ R.table(
     """(SELECT "column", '{"column":' || to_json("column") || ',"psi":' || CAST(round(psi, 4) AS VARCHAR) || ',"verdict":"' || CASE WHEN psi >= 0.25 THEN 'significant' ELSE 'moderate' END || '"}' AS alert FROM psi WHERE psi >= 0.1)""",
     {"column": None, "alert": None},
 )
-OLD, NEW = F.col("o_orderdate") < "1996-06-01", F.col("o_orderdate") >= "1996-06-01"
+OLD, NEW = "o_orderdate < '1996-06-01'", "o_orderdate >= '1996-06-01'"
 R.table(
-    "column_drift", lambda s, d: prof.column_drift(orders(s, d).withColumn("none", F.lit(None).cast("double")), ["o_totalprice", "none"], ["o_orderpriority"], OLD, NEW).select("column", "test", "statistic", "drift"),
+    "column_drift", lambda s, d: prof.column_drift(orders(s, d).withColumn("none", F.lit(None).cast("double")), ["o_totalprice", "none"], ["o_orderpriority"], F.expr(OLD), F.expr(NEW)).select("column", "test", "statistic", "drift"),
     """o AS (SELECT *, o_orderdate < '1996-06-01' AS r FROM orders), c AS (SELECT o_orderpriority AS x, r, count(*)::DOUBLE AS o FROM o GROUP BY 1, 2),
     e AS (SELECT o, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY r) / sum(o) OVER () AS e FROM c), chi AS (SELECT sum(pow(o - e, 2) / e) AS statistic, 4 AS dof FROM e),
     k AS (SELECT max(abs(a - b)) AS statistic, min(n) AS n, min(m) AS m FROM (SELECT sum(r::INT) OVER w / n AS a, sum((NOT r)::INT) OVER w / m AS b, n, m FROM o, (SELECT sum(r::INT)::DOUBLE AS n, sum((NOT r)::INT)::DOUBLE AS m FROM o) WINDOW w AS (ORDER BY o_totalprice RANGE UNBOUNDED PRECEDING)))""",
