@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,22 @@ from pyspark.sql import functions as F
 ALONE = 1_000_000
 
 
+#: The session's setting for a folder of this machine, used only in local mode without a checkpoint folder.
+LOCAL_SCRATCH = "veldrift.local.scratch"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint
+    folder. Where neither is set, a new folder of this machine, but only if Spark runs in this one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_SCRATCH, None)
+    if not base:
+        held = spark._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not spark._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set(LOCAL_SCRATCH, base)
     return f"{base.rstrip('/')}/veldrift/{name}-{uuid.uuid4().hex}"
 
 

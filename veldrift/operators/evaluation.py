@@ -69,6 +69,11 @@ def auc(d: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     return s.select(area.alias("auc"), "accuracy", "brier", F.greatest("base_rate", 1 - F.col("base_rate")).alias("majority"))
 
 
+def group_means(d: DataFrame, by: list[str], metrics: list[str], digits: int = 4) -> DataFrame:
+    """Means of metrics by variant, rounded."""
+    return d.groupBy(*by).agg(*[F.round(F.avg(m), digits).alias(m) for m in metrics])
+
+
 def confusion(d: DataFrame, key: str, p: str = "p", y: str = "y", threshold: float = 0.5) -> DataFrame:
     """Counts, precision, recall and F1 of the positive class by key."""
     hit = F.col(p) >= threshold

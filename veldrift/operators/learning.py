@@ -33,20 +33,23 @@ def resolve(columns: list[str], declared: list[str] | None = None, sentiment: li
 
 
 def prepare(d: DataFrame, y: str = "target") -> DataFrame:
-    """Complete rows with label and part (train, validate, test) in time order."""
+    """Complete rows with label and part (train, validate, test) in time order. They are written once, since every fit
+    and every metric reads them again."""
     names = resolve(d.columns)
     out = d.dropna(subset=[*names, y]).withColumn("label", F.col(y).cast("double"))
-    return ev.class_weights(ev.temporal_split(out, 0.8, 0.2), "label")
+    return written(ev.class_weights(ev.temporal_split(out, 0.8, 0.2), "label"), "prepared")
 
 
-def estimator(kind: str, trees: int = 20, seed: int = 42):
+def estimator(kind: str, trees: int = 200, rounds: int = 100, depth: int = 5, reg: float = 0.1, mix: float = 0.5, seed: int = 42):
+    """A forest of ``trees``, ``rounds`` of boosting, or a logistic model with penalty ``reg``, ``mix`` of it on absolute
+    values; depth is that of the trees."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if kind == "forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=5, minInstancesPerNode=50, featureSubsetStrategy="sqrt", seed=seed, **common)
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=50, featureSubsetStrategy="sqrt", seed=seed, **common)
     if kind == "boosted":
-        return GBTClassifier(maxIter=trees // 2, maxDepth=3, seed=seed, **common)
+        return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, minInstancesPerNode=10, seed=seed, **common)
     if kind == "elastic":
-        return LogisticRegression(regParam=0.1, elasticNetParam=0.5, **common)
+        return LogisticRegression(regParam=reg, elasticNetParam=mix, **common)
     if kind == "ridge":
         return LogisticRegression(regParam=1.0, elasticNetParam=0.0, **common)
     raise ValueError(f"unknown model {kind!r}")
@@ -68,22 +71,45 @@ def fit(d: DataFrame, kind: str, **kw):
     return pipeline(resolve(d.columns), kind, **kw).fit(d)
 
 
-def scored(d: DataFrame, kind: str) -> DataFrame:
+def scored(d: DataFrame, kind: str, **kw) -> DataFrame:
     """Metrics of a model on the test rows: model, auc, accuracy, brier, majority."""
-    model = fit(d.filter("part <> 'test'"), kind)
+    model = fit(d.filter("part <> 'test'"), kind, **kw)
     return ev.auc(with_p(model, d.filter("part = 'test'")), "p", "label").withColumn("model", F.lit(kind))
 
 
+def elastic_grid(d: DataFrame, regs: tuple[float, ...] = (0.01, 0.1, 1.0), mixes: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:
+    """Each penalty and mix with its area on the validation rows, and whether it is the best (the first of equals)."""
+    train, validate = written(d.filter("part = 'train'"), "train"), written(d.filter("part = 'validate'"), "validate")
+    out = None
+    for i, (reg, mix) in enumerate(itertools.product(regs, mixes)):
+        area = ev.auc(with_p(fit(train, "elastic", reg=reg, mix=mix), validate), "p", "label").select("auc")
+        row = area.select(F.lit(i).alias("i"), F.lit(reg).alias("reg"), F.lit(mix).alias("mix"), "auc")
+        out = row if out is None else out.unionByName(row)
+    out = written(out, "grid")
+    best = out.agg(F.max_by("i", F.struct(F.round("auc", 9).alias("a"), -F.col("i"))).alias("best"))
+    return out.crossJoin(best).select("reg", "mix", "auc", (F.col("i") == F.col("best")).alias("best"))
+
+
 def calibrated(d: DataFrame, kind: str = "forest") -> DataFrame:
-    """Calibration error before and after isotonic regression on the validation rows, and whether to adopt it."""
+    """Calibration error and area on test rows of a model, raw and after isotonic and sigmoid regression on the
+    validation rows, and which is adopted: the least error of those that lose under 0.02 of area, else raw."""
     model = fit(d.filter("part = 'train'"), kind)
-    v, t = with_p(model, d.filter("part = 'validate'")), with_p(model, d.filter("part = 'test'"))
-    iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(v.select("p", "label"))
-    after = iso.transform(t.drop("prediction")).withColumn("q", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))))
-    raw = ev.ece(after, p="p", y="label").toDF("ece_raw").crossJoin(ev.auc(after, "p", "label").select(F.col("auc").alias("auc_raw")))
-    cal = ev.ece(after, p="q", y="label").toDF("ece_isotonic").crossJoin(ev.auc(after, "q", "label").select(F.col("auc").alias("auc_isotonic")))
-    adopt = (F.col("ece_isotonic") < F.col("ece_raw")) & (F.col("auc_isotonic") > F.col("auc_raw") - 0.02)
-    return raw.crossJoin(cal).withColumn("adopt", adopt)
+    v, t = (written(with_p(model, d.filter(f"part = '{p}'")).select("p", "label"), p) for p in ("validate", "test"))
+    iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(v)
+    logit = F.log(F.greatest("p", F.lit(1e-6)) / F.greatest(1 - F.col("p"), F.lit(1e-6)))
+    wide = VectorAssembler(inputCols=["z"], outputCol="features")
+    sigmoid = LogisticRegression(featuresCol="features", labelCol="label").fit(wide.transform(v.withColumn("z", logit)))
+    after = iso.transform(t).withColumn("q", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))).drop("prediction")
+    after = sigmoid.transform(wide.transform(after.withColumn("z", logit))).withColumn("r", vector_to_array("probability")[1])
+    after = written(after.select("p", "q", "r", "label"), "calibrated")
+    out = None
+    for name, c in (("raw", "p"), ("isotonic", "q"), ("sigmoid", "r")):
+        one = ev.ece(after, p=c, y="label").toDF(f"ece_{name}").crossJoin(ev.auc(after, c, "label").select(F.col("auc").alias(f"auc_{name}")))
+        out = one if out is None else out.crossJoin(one)
+    good = lambda name: F.col(f"auc_{name}") > F.col("auc_raw") - 0.02
+    low = F.least("ece_raw", *[F.when(good(n), F.col(f"ece_{n}")) for n in ("isotonic", "sigmoid")])
+    adopted = F.when(F.col("ece_raw") <= low, "raw").when(good("isotonic") & (F.col("ece_isotonic") <= low), "isotonic").otherwise("sigmoid")
+    return out.withColumn("adopted", adopted)
 
 
 def members(d: DataFrame, kinds: list[str], train: str, apply_to: str) -> DataFrame:
@@ -95,31 +121,42 @@ def members(d: DataFrame, kinds: list[str], train: str, apply_to: str) -> DataFr
     return rows
 
 
-def ensemble(d: DataFrame, kinds: tuple[str, ...] = ("forest", "boosted", "ridge"), step: float = 0.25) -> DataFrame:
-    """Weights on the simplex, by area on the validation rows: the best, and its area and the equal mean's on test."""
+def ensemble(d: DataFrame, kinds: tuple[str, ...] = ("forest", "boosted", "ridge"), step: float = 0.1) -> DataFrame:
+    """Weights on the simplex, by area on the validation rows: the best, and its area and the equal mean's on test, with
+    the share of test rows whose members all vote alike and the mean margin of votes.
+
+    Mixed probabilities are counted to 4 digits before they are ranked, so a weight's ranks are of at most 10,001 values.
+    """
     kinds = list(kinds)
-    both = members(d, kinds, "part = 'train'", "part <> 'train'")
+    both = written(members(d, kinds, "part = 'train'", "part <> 'train'").select("part", "label", *[f"p_{k}" for k in kinds]), "members")
     n = round(1 / step)
     grid = [w for w in itertools.product(range(n + 1), repeat=len(kinds)) if sum(w) == n]
     table = d.sparkSession.createDataFrame([(i, [x / n for x in w]) for i, w in enumerate(grid)], "w int, weights array<double>")
-    mixed = both.filter("part = 'validate'").crossJoin(F.broadcast(table))
+    mixed = both.filter("part = 'validate'").crossJoin(F.broadcast(table))  # one row per step of the grid
     p = sum((F.col(f"p_{k}") * F.col("weights")[i] for i, k in enumerate(kinds)), F.lit(0.0))
-    mixed = mixed.select("w", "weights", "label", F.round(p, 9).alias("p"))
-    ranks = mixed.withColumn("r", F.rank().over(W.partitionBy("w").orderBy("p")) + (F.count(F.lit(1)).over(W.partitionBy("w", "p")) - 1) / 2)
-    pos = F.sum("label")
-    neg = F.count(F.lit(1)) - pos
-    areas = ranks.groupBy("w").agg(F.first("weights").alias("weights"), F.try_divide(F.sum(F.col("r") * F.col("label")) - pos * (pos + 1) / 2, pos * neg).alias("auc"))
-    best = areas.agg(F.max_by("weights", F.struct(F.round("auc", 9).alias("a"), -F.col("w"))).alias("weights"), F.max("auc").alias("auc_validate"))
+    counts = mixed.groupBy("w", F.round(p, 4).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    upto = W.partitionBy("w").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
+    ranks = counts.withColumn("r", F.sum("n").over(upto) - (F.col("n") - 1) / 2)
+    pos = F.sum("pos")
+    neg = F.sum("n") - pos
+    areas = ranks.groupBy("w").agg(F.try_divide(F.sum(F.col("r") * F.col("pos")) - pos * (pos + 1) / 2, pos * neg).alias("auc"))
+    areas = areas.join(F.broadcast(table), "w")
+    best = written(areas.agg(F.max_by("weights", F.struct(F.round("auc", 9).alias("a"), -F.col("w"))).alias("weights"), F.max("auc").alias("auc_validate")), "best")
     test = both.filter("part = 'test'").crossJoin(F.broadcast(best))
     test = test.withColumns({"p": p, "p_equal": sum((F.col(f"p_{k}") for k in kinds), F.lit(0.0)) / len(kinds)})
-    return best.crossJoin(ev.auc(test, "p", "label").select(F.col("auc").alias("auc_weighted"))).crossJoin(ev.auc(test, "p_equal", "label").select(F.col("auc").alias("auc_equal")))
+    votes = sum(((F.col(f"p_{k}") >= 0.5).cast("double") for k in kinds), F.lit(0.0)) / len(kinds)
+    margin = test.agg(F.avg(F.abs(2 * votes - 1)).alias("vote_margin"), F.avg((F.abs(2 * votes - 1) == 1).cast("double")).alias("unanimous"))
+    return (
+        best.crossJoin(ev.auc(test, "p", "label").select(F.col("auc").alias("auc_weighted")))
+        .crossJoin(ev.auc(test, "p_equal", "label").select(F.col("auc").alias("auc_equal"))).crossJoin(margin)
+    )
 
 
 def stacked(d: DataFrame, kinds: tuple[str, ...] = ("forest", "ridge"), folds: int = 2) -> DataFrame:
     """A logistic meta-learner on walk-forward out-of-fold probabilities, scored on test rows."""
     names = [f"p_{k}" for k in kinds]
     rest = d.filter("part <> 'test'").drop("part")
-    used = ev.walk_forward(rest, folds=folds, start=0.6)
+    used = written(ev.walk_forward(rest, folds=folds, start=0.6), "folds")
     out = None
     for f in range(folds):
         part = members(used.filter(F.col("fold") == f), list(kinds), "part = 'train'", "part = 'test'").select("label", "weight", *names)
@@ -129,9 +166,12 @@ def stacked(d: DataFrame, kinds: tuple[str, ...] = ("forest", "ridge"), folds: i
     return ev.auc(with_p(meta, test), "p", "label").withColumn("model", F.lit("stacked"))
 
 
-def volatility(d: DataFrame, horizon: int = 10, trees: int = 20) -> DataFrame:
+HAR = ("har_d", "har_w", "har_m", "har_dw", "har_wm", "volatility")
+
+
+def volatility(d: DataFrame, horizon: int = 10, trees: int = 200, names: tuple[str, ...] = HAR) -> DataFrame:
     """R2, MAE and rank correlation of a forest of HAR features for forward volatility, beside persistence."""
-    names = ["har_d", "har_w", "har_m", "har_dw", "har_wm", "volatility"]
+    names = list(names)
     y = f"future_vol_{horizon}"
     d = ev.temporal_split(d.dropna(subset=[*names, y, f"persistence_{horizon}"]), 0.8)
     forest = RandomForestRegressor(featuresCol="features", labelCol=y, numTrees=trees, maxDepth=5, minInstancesPerNode=20, seed=42)
@@ -141,16 +181,17 @@ def volatility(d: DataFrame, horizon: int = 10, trees: int = 20) -> DataFrame:
     return a.unionByName(ev.regression(test, y, f"persistence_{horizon}").withColumn("model", F.lit("persistence"))).withColumn("annualise", F.sqrt(F.lit(252.0)))
 
 
-def by_regime(d: DataFrame, column: str = "quarter", least: int = 30) -> DataFrame:
-    """A model for each regime of enough rows, and one for all: regime, n, auc on the regime's test rows."""
+def by_regime(d: DataFrame, column: str = "regime", least: int = 30, kind: str = "forest", **kw) -> DataFrame:
+    """A model for each regime of at least ``least`` training rows of both classes, and one for all: regime, n, auc on
+    the regime's test rows (null without both classes there)."""
     train, test = d.filter("part <> 'test'"), d.filter("part = 'test'")
-    sizes = {r[column]: r["count"] for r in train.groupBy(column).count().collect()}
-    overall = fit(train, "ridge")
-    out = ev.auc(with_p(overall, test), "p", "label").select(F.lit("all").alias("regime"), F.lit(sum(sizes.values())).cast("long").alias("n"), "auc")
-    for value, n in sorted(sizes.items()):
-        if n >= least:
-            m = fit(train.filter(F.col(column) == value), "ridge")
-            row = ev.auc(with_p(m, test.filter(F.col(column) == value)), "p", "label").select(F.lit(str(value)).alias("regime"), F.lit(n).cast("long").alias("n"), "auc")
+    train, test = written(train, "train"), written(test, "test")
+    sizes = {r[column]: r for r in train.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("classes")).collect()}  # a row per regime
+    out = ev.auc(with_p(fit(train, kind, **kw), test), "p", "label").select(F.lit("all").alias("regime"), F.lit(sum(r.n for r in sizes.values())).cast("long").alias("n"), "auc")
+    for value, r in sorted(sizes.items(), key=lambda x: str(x[0])):
+        if r.n >= least and r.classes > 1 and value is not None:
+            m = fit(train.filter(F.col(column) == value), kind, **kw)
+            row = ev.auc(with_p(m, test.filter(F.col(column) == value)), "p", "label").select(F.lit(str(value)).alias("regime"), F.lit(r.n).cast("long").alias("n"), "auc")
             out = out.unionByName(row)
     return out
 
@@ -184,6 +225,23 @@ def importance(d: DataFrame, top: int = 10) -> DataFrame:
     return d.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def permutation_importance(d: DataFrame, kind: str = "ridge", top: int = 10, seed: int = 42, parts: int = 64) -> DataFrame:
+    """The features whose values matter most to a model: its area on test rows less that with one feature's values
+    exchanged. Rows are dealt into ``parts`` by a hash, and each takes the value of the next in its part, so no task
+    orders all rows."""
+    names = resolve(d.columns)
+    model = fit(d.filter("part <> 'test'"), kind)
+    test = d.filter("part = 'test'").withColumn("_h", F.xxhash64(F.lit(seed), "ticker", "timestamp"))
+    near = W.partitionBy(F.pmod("_h", F.lit(parts))).orderBy("_h", "timestamp")
+    moved = written(test.withColumns({f"_{c}": F.coalesce(F.lead(c).over(near), F.first(c).over(near)) for c in names}), "moved")
+    whole = ev.auc(with_p(model, moved), "p", "label").select(F.col("auc").alias("whole"))
+    out = None
+    for c in names:
+        row = ev.auc(with_p(model, moved.drop(c).withColumnRenamed(f"_{c}", c)), "p", "label").select(F.lit(c).alias("feature"), "auc")
+        out = row if out is None else out.unionByName(row)
+    return out.crossJoin(whole).select("feature", (F.col("whole") - F.col("auc")).alias("importance")).orderBy(F.desc("importance"), "feature").limit(top)
+
+
 def majority(d: DataFrame, y: str = "label") -> DataFrame:
     return d.agg(F.greatest(F.avg(y), 1 - F.avg(y)).alias("majority"))
 
@@ -282,7 +340,7 @@ def smote(d: DataFrame, k: int = 5, y: str = "label", names: tuple[str, ...] = (
 
 def search(d: DataFrame, trials: list[dict], kind: str = "forest", folds: int = 2) -> DataFrame:
     """Mean walk-forward area of each parameter set: (trial, auc), a driver loop over a few trials."""
-    used = ev.walk_forward(d.filter("part <> 'test'").drop("part"), folds=folds)
+    used = written(ev.walk_forward(d.filter("part <> 'test'").drop("part"), folds=folds), "folds")
     out = None
     for i, params in enumerate(trials):
         for f in range(folds):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.prefix import running_sum
+from ..functions.prefix import running_sum, written
 
 #: Fraction, least and largest stake, largest exposure.
 FRACTION, LEAST, MOST, EXPOSURE = 0.10, 0.005, 0.03, 0.15
@@ -66,9 +66,13 @@ def trajectory(returns: DataFrame, fraction: float, order: str, key: str, initia
     return d.withColumn("drawdown", 1 - F.col("bankroll") / F.col("_peak")).drop("_x", "_hits", "_peak")
 
 
-def growth_and_drawdown(returns: DataFrame, fractions: list[float], order: str, key: str, initial: float = 1000.0) -> DataFrame:
-    """Growth and largest drawdown of each key at each fraction, in one pass."""
-    d = returns.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+def growth_and_drawdown(returns: DataFrame, fractions: list[float] | DataFrame, order: str, key: str, initial: float = 1000.0) -> DataFrame:
+    """Growth and largest drawdown of each key at each fraction, in one pass. Fractions are a list or a small table (key,
+    fractions array)."""
+    if isinstance(fractions, DataFrame):
+        d = returns.join(F.broadcast(fractions), key).withColumn("fraction", F.explode("fractions")).drop("fractions")
+    else:
+        d = returns.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     s = W.partitionBy(key, "fraction").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     x = 1 + F.col("fraction") * F.col("ret")
     d = d.withColumn("_x", F.when(x > 0, x)).withColumn("_log", F.sum(F.log("_x")).over(s))
@@ -78,14 +82,28 @@ def growth_and_drawdown(returns: DataFrame, fractions: list[float], order: str,
     )
 
 
-def risk_constrained(returns: DataFrame, order: str, key: str, weight: float = 0.5, fractions: list[float] | None = None) -> DataFrame:
-    """The fraction of each key that minimises weight * R / R* - G / G*, over a grid; R* and G* are those at the best growth."""
-    grid = fractions or [round(0.005 * k, 3) for k in range(1, 31)]
-    g = growth_and_drawdown(returns, grid, order, key)
-    best = g.groupBy(key).agg(F.max_by(F.struct("growth", "max_drawdown"), F.struct("growth", -F.col("fraction"))).alias("_b"))
+def risk_constrained(returns: DataFrame, order: str, key: str, weight: float = 0.5, low: float = 0.005, high: float = 0.15, points: int = 30, passes: int = 3) -> DataFrame:
+    """The fraction of each key within ``low`` and ``high`` that minimises weight * R / R* - G / G*; R* and G* are those at
+    the best growth of the first grid.
+
+    Each pass lays a grid of ``points`` between the neighbours of the best fraction so far, so three find it to about
+    (high - low) / points ** 3, in one read of the bets each.
+    """
+    grid = [low + (high - low) * k / (points - 1) for k in range(points)]
+    g = written(growth_and_drawdown(returns, grid, order, key), "growth")
+    top = g.groupBy(key).agg(F.max_by(F.struct("growth", "max_drawdown"), F.struct("growth", -F.col("fraction"))).alias("_b"))
     score = weight * F.try_divide(F.col("max_drawdown"), F.col("_b.max_drawdown")) - F.try_divide(F.col("growth"), F.abs("_b.growth"))
-    j = g.join(best, key).withColumn("score", score)
-    return j.groupBy(key).agg(F.min_by(F.struct("fraction", "growth", "max_drawdown", "score"), F.struct(F.round("score", 9).alias("s"), "fraction")).alias("b")).select(key, "b.*")
+    first = F.min_by(F.struct("fraction", "growth", "max_drawdown", "score"), F.struct(F.round("score", 12).alias("s"), "fraction"))
+    best = written(g.join(top, key).withColumn("score", score).groupBy(key).agg(first.alias("b")), "best")
+    step = (high - low) / (points - 1)
+    for _ in range(passes - 1):
+        ends = [F.greatest(F.col("b.fraction") - step, F.lit(low)), F.least(F.col("b.fraction") + step, F.lit(high))]
+        finer = F.array(*[ends[0] + (ends[1] - ends[0]) * (k / (points - 1)) for k in range(points)])
+        again = growth_and_drawdown(returns, best.select(key, finer.alias("fractions")), order, key)
+        every = again.join(top, key).withColumn("score", score).select(key, "fraction", "growth", "max_drawdown", "score").unionByName(best.select(key, "b.*"))
+        best = written(every.groupBy(key).agg(first.alias("b")), "best")
+        step = 2 * step / (points - 1)
+    return best.select(key, "b.*")
 
 
 def cvar_drawdown(returns: DataFrame, fraction: float, order: str, alpha: float = 0.10, resamples: int = 200, seed: int = 42, block: int = 10_000) -> DataFrame:
@@ -122,7 +140,7 @@ def ruin(spark: SparkSession, p: float, odds: float, fraction: float, n_sims: in
     Simulations are spread over tasks; each has a seed of its own, so the result does not depend on the partitions.
     """
     if not (0 < p < 1 and odds > 1 and fraction > 0):
-        return spark.range(1).select(F.lit(0.0).alias("p_ruin"), F.lit(0.0).alias("p_dd30"), F.lit(0.0).alias("p_dd50"), F.lit(1.0).alias("mean_final"), F.lit(1.0).alias("median_final"), F.lit(1.0).alias("p5_final"), F.lit(1.0).alias("p95_final"))
+        return spark.range(1).select(F.lit(0.0).alias("p_ruin"), F.lit(0.0).alias("p_dd30"), F.lit(0.0).alias("p_dd50"), F.lit(1.0).alias("mean_final"), F.lit(1.0).alias("median_final"), F.lit(1.0).alias("p5_final"), F.lit(1.0).alias("p95_final"), F.lit(0.0).alias("sharpe"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -139,6 +157,7 @@ def ruin(spark: SparkSession, p: float, odds: float, fraction: float, n_sims: in
         F.avg((F.col("low") <= 1 - ruin_at).cast("double")).alias("p_ruin"), F.avg((F.col("dd") > 0.3).cast("double")).alias("p_dd30"),
         F.avg((F.col("dd") > 0.5).cast("double")).alias("p_dd50"), F.avg("final").alias("mean_final"), F.percentile("final", 0.5).alias("median_final"),
         F.percentile("final", 0.05).alias("p5_final"), F.percentile("final", 0.95).alias("p95_final"),
+        F.when(F.stddev_samp("final") > 1e-12, (F.avg("final") - 1) / F.stddev_samp("final")).otherwise(0.0).alias("sharpe"),
     )
 
 
@@ -146,13 +165,29 @@ def acceptable(p_ruin: Column, p_dd30: Column) -> Column:
     return (p_ruin <= 0.001) & (p_dd30 <= 0.10)
 
 
-def largest_safe_fraction(spark: SparkSession, p: float, odds: float, target: float = 0.10, fractions: list[float] | None = None, **kw) -> DataFrame:
-    """The largest fraction of a grid whose P(drawdown over 30 %) stays within the target."""
-    out = None
-    for f in fractions or [0.01, 0.02, 0.05, 0.1, 0.15]:
-        r = ruin(spark, p, odds, f, **kw).withColumn("fraction", F.lit(f))
-        out = r if out is None else out.unionByName(r)
-    return out.agg(F.max(F.when(F.col("p_dd30") <= target, F.col("fraction"))).alias("fraction"))
+def ruin_report(row: DataFrame) -> DataFrame:
+    """Adds whether the risk is acceptable and one line of text that says so with the figures."""
+    ok = acceptable(F.col("p_ruin"), F.col("p_dd30"))
+    said = F.format_string(
+        "%s: ruin %.4f, drawdown over 30 %% %.4f, over 50 %% %.4f, final mean %.4f, median %.4f, 5 to 95 %% %.4f to %.4f, Sharpe %.4f",
+        F.when(ok, "acceptable").otherwise("not acceptable"), "p_ruin", "p_dd30", "p_dd50", "mean_final", "median_final", "p5_final", "p95_final", "sharpe",
+    )
+    return row.withColumns({"accepted": ok, "report": said})
+
+
+def largest_safe_fraction(spark: SparkSession, p: float, odds: float, target: float = 0.10, kelly: float = 1.0, steps: int = 15, **kw) -> DataFrame:
+    """The largest share of the Kelly stake whose P(drawdown over 30 %) stays within the target, by bisection between 0
+    and ``kelly``: (share, fraction, p_dd30). Simulations share their seeds, so the risk grows with the share."""
+    full = max(0.0, p - (1 - p) / (odds - 1))
+    low, high, risk = 0.0, kelly, 0.0
+    for _ in range(steps if full > 0 else 0):
+        mid = (low + high) / 2
+        found = ruin(spark, p, odds, full * mid, **kw).first().p_dd30
+        if found <= target:
+            low, risk = mid, found
+        else:
+            high = mid
+    return spark.createDataFrame([(low, full * low, float(risk))], "share double, fraction double, p_dd30 double")
 
 
 def moments(returns: DataFrame, key: str = "ticker", time: str = "timestamp", x: str = "return") -> DataFrame:
@@ -211,6 +246,24 @@ def bet_correlation(bets: DataFrame, rho: float = 0.10) -> DataFrame:
     return b.join(other, ["league", "date"]).filter("bet_id < other").select("bet_id", "other", (F.col("sd") * F.col("sd_other") * rho).alias("cov"))
 
 
+def signal_portfolio(bets: DataFrame, bankroll: float, rho: float = 0.10, cap: float = 0.4, most: int = 500) -> DataFrame:
+    """Stakes of the signalled bets with the highest Sharpe ratio: (bet_id, weight, stake). A bet's mean is its edge, at
+    least 0.001, and its deviation that over 1.5; two of the same league and day correlate by ``rho``.
+
+    The optimiser runs on the driver, so more than ``most`` signals are refused; pass one day's.
+    """
+    rows = bets.filter("bet_signal").select("bet_id", "league", "date", "ev").orderBy("bet_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} signals at once")
+    edge = np.array([max(r.ev or 0.0, 0.001) for r in rows])
+    sd = edge / 1.5
+    same = np.array([[a.league is not None and a.date is not None and (a.league, a.date) == (b.league, b.date) for b in rows] for a in rows]).reshape(len(rows), len(rows))
+    cov = np.where(same, rho, 0.0) * np.outer(sd, sd)
+    np.fill_diagonal(cov, sd * sd)
+    w = max_sharpe(edge, cov, cap) if rows else []
+    return bets.sparkSession.createDataFrame([(r.bet_id, float(x), float(x) * bankroll * EXPOSURE) for r, x in zip(rows, w, strict=True)], "bet_id long, weight double, stake double")
+
+
 def spread_stakes(bets: DataFrame, weights: DataFrame, bankroll: float) -> DataFrame:
     """Stakes weight * bankroll * largest exposure back on the bets; 0 for bets without a weight."""
     return bets.join(weights, "bet_id", "left").withColumn("stake", F.coalesce("weight", F.lit(0.0)) * bankroll * EXPOSURE)

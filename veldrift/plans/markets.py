@@ -202,7 +202,21 @@ R.table(
 )
 R.rows_only("risk_constrained_kelly", lambda s, d: staking.risk_constrained(rets(s, d), "bet_id", "league"))
 R.rows_only("cvar_drawdown", lambda s, d: staking.cvar_drawdown(rets(s, d), 0.02, "bet_id", resamples=50))
-R.rows_only("risk_of_ruin", lambda s, d: staking.ruin(s, 0.55, 2.0, 0.05, n_sims=2000, n_bets=200).withColumn("accepted", staking.acceptable(F.col("p_ruin"), F.col("p_dd30"))))
+R.rows_only("risk_of_ruin", lambda s, d: staking.ruin_report(staking.ruin(s, 0.55, 2.0, 0.05)))
+R.rows_only("safe_fraction", lambda s, d: staking.largest_safe_fraction(s, 0.55, 2.0, n_sims=2000))
+R.rows_only("signal_portfolio", lambda s, d: staking.signal_portfolio(first_day(s, d), 10_000.0))
+
+
+def first_day(s, d: str) -> DataFrame:
+    """The bets of the first day."""
+    b = bets(s, d)
+    return b.join(F.broadcast(b.filter("bet_signal").agg(F.min("date").alias("date"))), "date")
+
+
+R.table(
+    "position_size", lambda s, d: probs(s, d).select("ticker", "timestamp", trading.position_size(F.lit(10_000.0), F.lit(0.02), F.col("close"), F.col("close") * (1 - F.col("p") + 0.4)).alias("shares")), PROBS,
+    """(SELECT ticker, "timestamp", CASE WHEN p > 0.4 THEN 200 / (close - close * (1 - p + 0.4)) ELSE 0 END AS shares FROM probs)""", {"ticker": None, "timestamp": None, "shares": 4},
+)
 
 
 def weights(s, d: str) -> DataFrame:

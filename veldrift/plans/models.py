@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import probability
 from ..operators import evaluation as ev
 from ..operators import indicators as ind
-from ..operators import learning
+from ..operators import learning, selection
 from .adapters import PROBS
-from .features import S, base
+from .features import S, base, with_macro, with_sentiment
 from .markets import probs
 from .registry import Registry
 
@@ -155,14 +155,79 @@ def features(s, d: str) -> DataFrame:
     return learning.prepare(ind.add_labels(base(s, d)))
 
 
+def with_regime(s, d: str) -> DataFrame:
+    """Features with the market regime of their day."""
+    return learning.prepare(ind.add_labels(with_macro(s, d)))
+
+
+def with_news(s, d: str) -> DataFrame:
+    return learning.prepare(ind.add_labels(with_sentiment(s, d)))
+
+
 R.rows_only("forest_classifier", lambda s, d: learning.scored(features(s, d), "forest"))
-R.rows_only("boosted_classifier", lambda s, d: learning.scored(features(s, d), "boosted"))
+R.rows_only("boosted_classifier", lambda s, d: learning.scored(features(s, d), "boosted", rounds=20))
 R.rows_only("elastic_net_classifier", lambda s, d: learning.scored(features(s, d), "elastic"))
+R.rows_only("elastic_net_grid", lambda s, d: learning.elastic_grid(features(s, d)))
 R.rows_only("calibrated_classifier", lambda s, d: learning.calibrated(features(s, d)))
-R.rows_only("ensemble_weights", lambda s, d: learning.ensemble(features(s, d)))
+R.rows_only("ensemble_weights", lambda s, d: learning.ensemble(features(s, d), ("forest", "elastic", "ridge")))
 R.rows_only("stacked_classifier", lambda s, d: learning.stacked(features(s, d)))
 R.rows_only("volatility_regressor", lambda s, d: learning.volatility(ind.add_har(ind.add_labels(base(s, d)))))
-R.rows_only("regime_models", lambda s, d: learning.by_regime(features(s, d)))
+R.rows_only("regime_models", lambda s, d: learning.by_regime(with_regime(s, d)))
 R.rows_only("pooled_routing", lambda s, d: learning.routing(features(s, d)))
 R.rows_only("feature_importance", lambda s, d: learning.importance(features(s, d)))
+R.rows_only("permutation_importance", lambda s, d: learning.permutation_importance(features(s, d)))
 R.rows_only("smote", lambda s, d: learning.smote(features(s, d)))
+R.rows_only("hyperparameter_search", lambda s, d: learning.search(features(s, d), [{"reg": r, "mix": 0.0} for r in (0.01, 0.1, 1.0)], "elastic"))
+R.rows_only("best_of_four", lambda s, d: selection.best_of(selection.candidates(with_news(s, d), rounds=20)))
+R.rows_only("model_inspection", lambda s, d: selection.inspected(features(s, d)))
+R.rows_only("latest_predictions", lambda s, d: selection.latest(features(s, d).unionByName(ind.add_labels(base(s, d)).filter("target is null"), allowMissingColumns=True), learning.routing(features(s, d))))
+R.rows_only(
+    "volatility_ablation",
+    lambda s, d: selection.volatility_ablation(ind.add_har(ind.add_labels(base(s, d))), {"har": learning.HAR[:3], "har_ratios": learning.HAR[:5], "all": learning.HAR}),
+)
+
+
+def sentiment_runs(s, d: str) -> DataFrame:
+    f = with_news(s, d)
+    run = lambda x: learning.scored(x, "ridge").select("model", "auc", "accuracy")
+    return selection.compare(run(f.drop(*learning.SENTIMENT)), run(f), ["model"], ["auc", "accuracy"])
+
+
+R.rows_only("sentiment_comparison", sentiment_runs)
+
+AREA = "((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)::DOUBLE))"
+R.table(
+    "overfit_check", lambda s, d: selection.overfit_check(ev.temporal_split(probs(s, d), 0.75), gap=0.01),
+    NUM + """, sp AS (SELECT p, y, CASE WHEN n < floor(total * 0.75) THEN 'train' ELSE 'test' END AS part FROM num), rk AS (SELECT *, rank() OVER (PARTITION BY part ORDER BY p) + (count(*) OVER (PARTITION BY part, p) - 1) / 2.0 AS rk FROM sp)""",
+    f"(SELECT *, CASE WHEN gap > 0.01 THEN 'overfitting' WHEN gap < -0.01 THEN 'suspect' ELSE 'ok' END AS verdict FROM (SELECT *, auc_train - auc_test AS gap FROM (SELECT {AREA} AS auc_train FROM rk WHERE part = 'train'), (SELECT {AREA} AS auc_test FROM rk WHERE part = 'test')))",
+    {"auc_train": 6, "auc_test": 6, "gap": 6, "verdict": None},
+)
+SCORES = ["rsi", "volatility", "momentum_10"]
+
+
+def sweep(s, d: str) -> DataFrame:
+    return selection.horizon_sweep(base(s, d), SCORES)
+
+
+SWEEP = PROBS + ", ys AS (SELECT *, " + ", ".join(f'CAST(lead(close, {h}) OVER ({S}) > close AS INTEGER) AS y{h}' for h in (1, 5, 10, 20)) + " FROM base), sw AS (" + " UNION ALL ".join(
+    f"SELECT {h} AS horizon, '{c}' AS score, {AREA} AS auc, count(*) AS n FROM (SELECT y{h} AS y, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rk FROM ys WHERE {c} IS NOT NULL AND y{h} IS NOT NULL)" for h in (1, 5, 10, 20) for c in SCORES
+) + ")"
+R.table("horizon_sweep", sweep, SWEEP, "sw", {"horizon": None, "score": None, "auc": 6, "n": None})
+R.table(
+    "best_score_by_horizon", lambda s, d: selection.best_of(sweep(s, d).withColumnRenamed("score", "model"), ["horizon"]).filter("chosen"), SWEEP,
+    "(SELECT * FROM (SELECT horizon, score AS model, auc, n, row_number() OVER (PARTITION BY horizon ORDER BY round(auc, 9) DESC, score) AS rank FROM sw) WHERE rank = 1)", {"horizon": None, "model": None, "auc": 6, "n": None},
+)
+CONF = ", " + ", ".join(f'{n} AS (SELECT ticker, count(*) FILTER (p >= {t} AND y = 1) / nullif(count(*) FILTER (p >= {t}), 0) AS "precision", count(*) FILTER (p >= {t} AND y = 1) / nullif(count(*) FILTER (y = 1), 0) AS recall FROM probs GROUP BY 1)' for n, t in (("lo", 0.5), ("hi", 0.55)))
+R.table(
+    "run_comparison", lambda s, d: selection.compare(ev.confusion(probs(s, d), "ticker"), ev.confusion(probs(s, d), "ticker", threshold=0.55), ["ticker"], ["precision", "recall"]), PROBS + CONF,
+    '(SELECT lo.ticker, lo."precision", hi."precision" AS precision_other, round(hi."precision" - lo."precision", 4) AS precision_delta, lo.recall, hi.recall AS recall_other, round(hi.recall - lo.recall, 4) AS recall_delta FROM lo JOIN hi USING (ticker))',
+    {"ticker": None, "precision": 6, "precision_other": 6, "precision_delta": 3, "recall": 6, "recall_other": 6, "recall_delta": 3},
+)
+R.table(
+    "annual_volatility", lambda s, d: selection.annualised(ind.add_har(base(s, d)).select("ticker", "timestamp", "volatility"), "volatility"), PROBS,
+    '(SELECT ticker, "timestamp", volatility * sqrt(252.0::DOUBLE) AS volatility_year FROM base)', {"ticker": None, "timestamp": None, "volatility_year": 6},
+)
+R.table(
+    "group_means", lambda s, d: ev.group_means(probs(s, d).withColumn("variant", F.dayofmonth("timestamp") % 3), ["variant"], ["p", "y"]), PROBS,
+    '(SELECT CAST(day("timestamp") % 3 AS INTEGER) AS variant, avg(p) AS p, avg(y) AS y FROM probs GROUP BY 1)', {"variant": None, "p": 3, "y": 3},
+)
