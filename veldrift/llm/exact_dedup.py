@@ -1,10 +1,11 @@
 """Exact dedup with a log-structured merge index, in DataFrame functions only.
 
 Each input partition is a memtable: its digests are sorted and flushed as a run, a Parquet file with a Bloom filter on
-the digest. Compaction merges runs and keeps the smallest identifier of each digest; an identifier orders rows, so the
-smallest one is the row that stays. Rows whose digest occurs again are hits, and hits are verified on the bytes of their
-texts: all texts of a digest are equal when the smallest is the largest. Digests that fail this (two texts, one
-digest) are grouped again by the text itself.
+the digest. The runs' entries in a sparse filter (one bit of ``FILTER_BITS`` a row) are merged first: a row whose bit no
+other row has set is alone, stays, and goes through no merge. The others are compacted level by level, ``FANOUT`` runs
+into one, keeping the smallest identifier of each digest; an identifier orders rows, so the smallest one is the row that
+stays. Digests that occur again are hits, and hits are verified on the bytes of their texts: all texts of a digest are
+equal when the smallest is the largest. Digests that fail this (two texts, one digest) are grouped again by the text.
 
 Defined results: null text counts as empty; null doc_id is below every other; of rows with the same text and doc_id one
 stays; an empty table gives no rows.
@@ -21,11 +22,14 @@ from .common import ascii_lower, stored
 
 #: Up to this many digests (8 bytes each) are sent to every executor; more are joined by a shuffle.
 BROADCAST_DIGESTS = 500_000
+#: Bits of the merged filter, and runs that a compaction merges into one.
+FILTER_BITS = 2**40
+FANOUT = 64
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
 
 
 def flush(docs: DataFrame, key: Column, digest: Callable[[Column], Column]) -> DataFrame:
-    """Flush every partition of ``docs`` as one sorted run: digest, identifier, doc_id, sha256 of the key text.
+    """Flush every partition of ``docs`` as one sorted run: digest, its bit, identifier, doc_id, sha256 of the key text.
 
     ``ident`` sorts rows that stay first: doc_id descending with null last, then the row's place.
     """
@@ -34,24 +38,32 @@ def flush(docs: DataFrame, key: Column, digest: Callable[[Column], Column]) -> D
         digest(F.col("key")).alias("digest"),
         F.sha2(F.encode("key", "UTF-8"), 256).alias("text_sha256"),
         F.monotonically_increasing_id().alias("place"),
+        F.spark_partition_id().alias("run"),
     )
     rows = rows.select(
-        "digest", "doc_id", "text_sha256",
+        "digest", "run", F.pmod("digest", F.lit(FILTER_BITS)).alias("bit"), "doc_id", "text_sha256",
         F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "place").alias("ident"),
     )
     return stored(rows.sortWithinPartitions("digest", "ident"), "run", **BLOOM)
 
 
 def compact(runs: DataFrame) -> DataFrame:
-    """Merge runs: digest, the smallest identifier, its doc_id, rows."""
-    return runs.groupBy("digest").agg(
-        F.min(F.struct("ident", "doc_id")).alias("least"), F.count(F.lit(1)).alias("group_size")
-    )
+    """Merge runs, ``FANOUT`` into one at each level: digest, the smallest identifier, its doc_id, rows."""
+    level = runs.select("run", "digest", F.struct("ident", "doc_id").alias("least"), F.lit(1).cast("long").alias("group_size"))
+    most = runs.agg(F.max("run")).first()[0] or 0
+    while True:
+        most //= FANOUT
+        level = level.withColumn("run", F.floor(F.col("run") / FANOUT).cast("int")) if most else level.withColumn("run", F.lit(0))
+        level = level.groupBy("run", "digest").agg(F.min("least").alias("least"), F.sum("group_size").alias("group_size"))
+        if not most:
+            return level.drop("run")
+        level = stored(level, "level")
 
 
-def _only(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    few = digests.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    return docs.join(F.broadcast(digests) if few else digests, "digest", "left_semi")
+def _only(docs: DataFrame, keys: DataFrame, kind: str = "left_semi") -> DataFrame:
+    """Rows whose key (the one column of ``keys``) is listed, or is not (``left_anti``)."""
+    few = keys.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    return docs.join(F.broadcast(keys) if few else keys, keys.columns, kind)
 
 
 def mark_duplicates(
@@ -62,6 +74,12 @@ def mark_duplicates(
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the text that ``key`` gives)."""
     text = F.coalesce(key(F.col("text")), F.lit(""))
     runs = flush(docs, text, digest)
+    shared = stored(runs.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bit"), "filter")
+    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    alone = _only(runs, shared, "left_anti").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+    )
+    runs = stored(_only(runs, shared), "probed")
     index = stored(compact(runs), "level", **BLOOM)
     hits = index.filter("group_size > 1").select("digest")
     texts = docs.select(text.alias("key")).select(digest(F.col("key")).alias("digest"), "key")
@@ -70,15 +88,14 @@ def mark_duplicates(
         .filter("lo <> hi").select("digest"),
         "clash",
     )
-    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     result = (
         runs.join(index, "digest")
         .withColumn("keep_id", F.col("least.doc_id"))
         .withColumn("kept", F.col("ident") == F.col("least.ident"))
     )
     if clash.isEmpty():
-        return result.select(*out)
-    result = result.join(clash, "digest", "left_anti").select(*out)
+        return alone.unionByName(result.select(*out))
+    result = alone.unionByName(result.join(clash, "digest", "left_anti").select(*out))
     odd = docs.select("doc_id", text.alias("key"), F.monotonically_increasing_id().alias("place")).select(
         "doc_id", "key", digest(F.col("key")).alias("digest"),
         F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "place").alias("ident"),
@@ -117,6 +134,6 @@ def drop_duplicates(docs: DataFrame, key: Callable[[Column], Column] = ascii_low
     left = tagged.join(F.broadcast(gone) if few else gone, ["id", "sha"], "left_anti")
     repeated = drop.filter("stays and copies > 1").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text_sha256").alias("sha"))
     if not repeated.isEmpty():  # the same row more than once
-        one = left.join(repeated, ["id", "sha"], "left_semi").groupBy("id", "sha").agg(F.min("row").alias("row"))
+        one = left.join(repeated, ["id", "sha"], "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
         left = left.join(repeated, ["id", "sha"], "left_anti").select("row").union(one.select("row"))
     return left.select("row.*")

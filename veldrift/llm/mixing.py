@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     )
     out = docs.withColumns(key(docs)).join(taken, [id_, tag])
     if not taken.filter(F.col(m) > 1).isEmpty():
-        again = out.filter(F.col(m) > 1).withColumn(row, F.row_number().over(W.partitionBy(id_, tag).orderBy(F.xxhash64(*_all(docs)))))
+        again = out.filter(F.col(m) > 1).withColumn(row, F.row_number().over(W.partitionBy(id_, tag).orderBy(F.to_json(F.struct(*_all(docs))))))
         again = again.withColumn(n, F.floor(F.col(n) / F.col(m)) + (F.col(row) <= F.col(n) % F.col(m)).cast("int")).drop(row)
         out = out.filter(F.col(m) == 1).unionByName(again)
     return out.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).select(*_all(docs))
