@@ -17,6 +17,7 @@ gives no rows.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,11 @@ SALTS = 64
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
 #: Fixed value: the tokenizer's own pieces of a lower-cased text, for the characters of ``PLAIN``.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-\u017f]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-\u017f0-9²³¹¼½¾]+")
+#: The normaliser and splitting of the tokenizer that ``PIECE`` stands for; a file with others gets whole texts.
+NORMALIZER = {
+    "type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces in a task's table, after which it starts anew. The table goes with its task.
 PIECES = 400_000
 
@@ -56,6 +62,14 @@ class PieceTable(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.known = (
+            spec.get("normalizer") == NORMALIZER and [p.get("type") for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": SPLIT}
+            and not spec.get("post_processor") and all("<|" in t for t in added)
+        )
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES:
@@ -66,7 +80,7 @@ class PieceTable(dict):
 
     def encode(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if not self.known or "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, PIECE.findall(text.lower())))
 

@@ -231,6 +231,8 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """Runs of windows that also start elsewhere: (doc, sha, first, last), from rows of (doc, sha, text)."""
+    if not prefix <= window <= 255:
+        raise ValueError("a window has 8 bits in a place, and holds a prefix")
     spark = docs.sparkSession
     paths = [scratch_path(spark, name) for name in ("anchors", "often", "asked")]
     kinds = "doc long, sha long, place long, prefix long, run long"
@@ -259,7 +261,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     found = small.mapInArrow(_compare(window), "doc long, sha long, first long, last long")
     large = cuts.filter("words is null").select("prefix", "more", "doc", "sha", "first")
     twice = large.groupBy("prefix", "more").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    long_ = large.join(twice, ["prefix", "more"], "left_semi").select("doc", "sha", "first", F.col("first").alias("last"))
+    long_ = rows_with(large, stored(twice, "twice"), ["prefix", "more"]).select("doc", "sha", "first", F.col("first").alias("last"))
     return again.unionByName(found).unionByName(long_)
 
 
