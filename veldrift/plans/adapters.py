@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sentiment import MARKET, scored_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -170,3 +172,12 @@ GRAPH = """nodes AS (
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
 )"""
+
+
+#: Words of the test corpora, so that their invented prose has scores too.
+PROSE = {
+    "the": 0.1, "and": 0.2, "that": -0.3, "with": 0.4, "was": -0.2, "der": 0.1, "die": -0.2, "und": 0.3, "la": 0.1,
+    "le": -0.1, "que": 0.2, "de": -0.1, "idiot": -3.0, "worthless": -2.5, "thing": 0.5, "not": -0.5, "nicht": -0.5, "pas": -0.5,
+}
+LEXICON = MARKET | PROSE
+SCORED = scored_sql(LEXICON)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..operators import indicators as ind
 from ..operators import sentiment
-from .adapters import BARS, BASE, MACRO, NEWS, bars, macro, news
+from .adapters import BARS, BASE, LEXICON, MACRO, NEWS, SCORED, bars, macro, news
 from .registry import Registry
 
 R = Registry()
@@ -285,15 +285,19 @@ R.table("volatility_terciles", volatility_terciles, TERCILES, "terciles", KEY |
 
 
 def daily(s, d: str) -> DataFrame:
-    return sentiment.daily(sentiment.score(news(s, d)))
+    return sentiment.daily(sentiment.score(news(s, d), LEXICON))
 
 
 R.table(
-    "news_sentiment", lambda s, d: sentiment.score(news(s, d)), NEWS + ", " + sentiment.SCORED_SQL, "scored",
+    "news_sentiment", lambda s, d: sentiment.score(news(s, d), LEXICON), NEWS + ", " + SCORED, "scored",
     {"doc_id": None, "ticker": None, "date": None, "n_positive": None, "n_negative": None, "delta": None, "compound": 6},
 )
 R.table(
-    "daily_sentiment", daily, NEWS + ", " + sentiment.SCORED_SQL + ", " + sentiment.DAILY_SQL, "daily",
+    "news_polarity", lambda s, d: sentiment.polarity(news(s, d), LEXICON), NEWS + ", " + sentiment.polarity_sql(LEXICON), "polar",
+    {"doc_id": None, "ticker": None, "date": None, "neg": 3, "neu": 3, "pos": 3, "compound": 6},
+)
+R.table(
+    "daily_sentiment", daily, NEWS + ", " + SCORED + ", " + sentiment.DAILY_SQL, "daily",
     {"ticker": None, "date": None, "compound": 6, "n": None},
 )
 
@@ -303,13 +307,13 @@ def with_sentiment(s, d: str) -> DataFrame:
 
 
 R.table(
-    "sentiment_features", with_sentiment, BASE + ", " + NEWS + ", " + sentiment.SCORED_SQL + ", " + sentiment.DAILY_SQL + ", " + sentiment.features_sql(over), "features",
+    "sentiment_features", with_sentiment, BASE + ", " + NEWS + ", " + SCORED + ", " + sentiment.DAILY_SQL + ", " + sentiment.features_sql(over), "features",
     KEY | spec("sentiment_score sentiment_noticias:- sentiment_ma5 sentiment_ma20 sentiment_ma60 sentiment_vol sentiment_zscore:5 sentiment_trend sentiment_rsi:5 sentiment_vol_ratio:2 sentiment_crown news_volume:- news_volume_ma5 sentiment_extreme:- sentiment_change sentiment_change_ma5"),
 )
 R.table(
     "sentiment_coverage",
     lambda s, d: with_sentiment(s, d).groupBy("ticker").agg(*[F.sum((F.col(x) != 0).cast("long")).alias(f"n_{x}") for x in ("sentiment_score", "news_volume")], *[(100 * F.avg((F.col(x) != 0).cast("double"))).alias(f"pct_{x}") for x in ("sentiment_score", "news_volume")]),
-    BASE + ", " + NEWS + ", " + sentiment.SCORED_SQL + ", " + sentiment.DAILY_SQL + ", " + sentiment.features_sql(over),
+    BASE + ", " + NEWS + ", " + SCORED + ", " + sentiment.DAILY_SQL + ", " + sentiment.features_sql(over),
     """(SELECT ticker, CAST(sum(CAST(sentiment_score <> 0 AS INTEGER)) AS BIGINT) AS n_sentiment_score, CAST(sum(CAST(news_volume <> 0 AS INTEGER)) AS BIGINT) AS n_news_volume,
       100 * avg(CAST(sentiment_score <> 0 AS INTEGER)) AS pct_sentiment_score, 100 * avg(CAST(news_volume <> 0 AS INTEGER)) AS pct_news_volume FROM features GROUP BY 1)""",
     {"ticker": None, "n_sentiment_score": None, "n_news_volume": None, "pct_sentiment_score": 6, "pct_news_volume": 6},

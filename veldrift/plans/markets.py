@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as ind
 from ..operators import sentiment, staking, trading
-from .adapters import BETS, PROBS, bets, news, probabilities
+from .adapters import BETS, LEXICON, PROBS, SCORED, bets, news, probabilities
 from .features import S, base, over, spec
 from .registry import Registry
 
@@ -86,7 +86,7 @@ R.table(
 
 
 def hybrid(s, d: str) -> DataFrame:
-    daily = sentiment.daily(sentiment.score(news(s, d)))
+    daily = sentiment.daily(sentiment.score(news(s, d), LEXICON))
     return probabilities_with(sentiment.add_features(base(s, d), daily))
 
 
@@ -99,7 +99,7 @@ def probabilities_with(features: DataFrame) -> DataFrame:
 def _hybrid_sql() -> str:
     from .adapters import BASE, NEWS
 
-    sent = BASE + ", " + NEWS + ", " + sentiment.SCORED_SQL + ", " + sentiment.DAILY_SQL + ", " + sentiment.features_sql(over)
+    sent = BASE + ", " + NEWS + ", " + SCORED + ", " + sentiment.DAILY_SQL + ", " + sentiment.features_sql(over)
     rest = PROBS[len(BASE) :]
     return sent + rest + """, signals AS (SELECT probs.*, sentiment_score, CASE WHEN p >= 0.6 AND sentiment_score > 0 THEN 'BUY' WHEN p <= 1 - 0.6::DOUBLE AND sentiment_score < 0 THEN 'SELL' ELSE 'HOLD' END AS signal
       FROM probs JOIN features USING (ticker, "timestamp"))"""
