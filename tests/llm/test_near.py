@@ -46,8 +46,8 @@ def components_of(texts):
 def test_links_span_all_pairs_of_brute_force(spark):
     texts = texts_around_the_limit()
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
-    for crowded, size in ((256, 64), (20, 8)):
-        got = {r.node: r.component for r in connected_components(near.links(rows, crowded=crowded, slice_size=size)).collect()}
+    for crowded, hashes in ((2048, 2_000_000), (20, 2_000_000), (2048, 3000)):
+        got = {r.node: r.component for r in connected_components(near.links(rows, crowded=crowded, hashes=hashes)).collect()}
         assert [got.get(i, i) for i in range(len(texts))] == components_of(texts)
 
 
