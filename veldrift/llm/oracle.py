@@ -135,6 +135,41 @@ FROM n LEFT JOIN depth d ON d.call_id = n.call_id
 """
 
 
+OP13 = """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT c, max(pos) AS n, 4294967295 - list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM t GROUP BY c
+), m AS (
+  SELECT n.c, n.c - n.c % 5 AS base, n.crc % 9 AS h, least(n.crc % 9, coalesce(b.n, 0)) AS given FROM n LEFT JOIN n b ON b.c = n.c - n.c % 5
+), r AS (
+  SELECT m.c, given + pos - h AS d, role, text FROM m JOIN t ON t.c = m.c WHERE pos > h
+  UNION ALL SELECT m.c, pos, role, text FROM m JOIN t ON t.c = m.base WHERE pos <= given
+), p AS (
+  SELECT c, d, strlen(text) AS bytes, string_agg(concat(len(role), ':', role, len(text), ':', text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS path FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM m
+), q AS (
+  SELECT *, lag(path) OVER (PARTITION BY c ORDER BY d) AS up, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS is_end FROM p
+), g AS (
+  SELECT d, path, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '')) AS ends_sha256 FROM q GROUP BY d, path
+), k AS (
+  SELECT d - 1 AS d, up AS path, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL
+), f AS (
+  SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (d, path)
+), s AS (
+  SELECT q.d, q.path, sum(f.saved) AS saved_tokens, count(*) FILTER (f.n_children = 0) AS n_leaves
+  FROM f JOIN q e ON e.c = f.conv_id AND e.d = f.d JOIN q ON q.c = f.conv_id AND q.d <= f.d GROUP BY ALL
+)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (d, path) LEFT JOIN g u ON u.d = f.d - 1 AND u.path = f.up
+"""
+
+
 def op5_sql() -> str:
     """Every rule over every text that holds its keywords, with intervals compared by windows."""
 
@@ -149,4 +184,4 @@ def op5_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op5_license_scan": op5_sql(), "op7_chat_format": OP7, "op10_substring_dedup": OP10}
+    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op5_license_scan": op5_sql(), "op7_chat_format": OP7, "op10_substring_dedup": OP10, "op13_prefix_trie": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, langid, licenses, mixing, packing, pii, quality, simhash, substring
+from . import chat, exact_dedup, langid, licenses, mixing, packing, pii, quality, simhash, substring, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_words")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = (
     op1_mix_sources, op2_pii, op3_pack_sequences, op4_exact_dedup, op5_license_scan, op6_quality_rules, op7_chat_format,
-    op8_simhash, op9_language_id, op10_substring_dedup,
+    op8_simhash, op9_language_id, op10_substring_dedup, op13_prefix_trie,
 )
 
 
