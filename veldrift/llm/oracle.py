@@ -134,6 +134,24 @@ SELECT n.conv_id, n.turn, 0 AS item, n.role, n.kind, n.call_id, n.name, n.valid,
 FROM n LEFT JOIN depth d ON d.call_id = n.call_id
 """
 
+OP11 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+  FROM e a JOIN e ON a.vec_id % 100 = 0 AND e.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 
 OP13 = """
 WITH t AS (
@@ -184,4 +202,4 @@ def op5_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op5_license_scan": op5_sql(), "op7_chat_format": OP7, "op10_substring_dedup": OP10, "op13_prefix_trie": OP13}
+    return {"op1_mix_sources": OP1, "op4_exact_dedup": OP4, "op5_license_scan": op5_sql(), "op7_chat_format": OP7, "op10_substring_dedup": OP10, "op11_hard_negatives": OP11, "op13_prefix_trie": OP13}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, licenses, mixing, packing, pii, quality, simhash, substring, trie
+from . import chat, exact_dedup, langid, licenses, mixing, negatives, packing, pii, quality, simhash, substring, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +57,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_words")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table.withColumn("label", moved))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = (
     op1_mix_sources, op2_pii, op3_pack_sequences, op4_exact_dedup, op5_license_scan, op6_quality_rules, op7_chat_format,
-    op8_simhash, op9_language_id, op10_substring_dedup, op13_prefix_trie,
+    op8_simhash, op9_language_id, op10_substring_dedup, op11_hard_negatives, op13_prefix_trie,
 )
 
 
