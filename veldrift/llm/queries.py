@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, licenses, mixing, negatives, packing, pii, quality, simhash, substring, trie
+from . import chat, exact_dedup, kernel_quality, langid, licenses, mixing, negatives, packing, pii, quality, simhash, substring, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +63,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table.withColumn("label", moved))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = (
     op1_mix_sources, op2_pii, op3_pack_sequences, op4_exact_dedup, op5_license_scan, op6_quality_rules, op7_chat_format,
-    op8_simhash, op9_language_id, op10_substring_dedup, op11_hard_negatives, op13_prefix_trie,
+    op8_simhash, op9_language_id, op10_substring_dedup, op11_hard_negatives,
+    op12_quality_classifier, op13_prefix_trie,
 )
 
 
