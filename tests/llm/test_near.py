@@ -46,11 +46,20 @@ def components_of(texts):
 def test_links_span_all_pairs_of_brute_force(spark):
     texts = texts_around_the_limit()
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
-    for crowded, hashes in ((2048, 2_000_000), (20, 2_000_000), (2048, 3000)):
-        got = {r.node: r.component for r in connected_components(near.links(rows, crowded=crowded, hashes=hashes)).collect()}
+    # Small buckets; crowded ones dealt into blocks at once; by a second band and then into blocks.
+    for crowded, hashes, levels in ((2048, 2_000_000, 3), (20, 3000, 1), (3, 2_000_000, 2)):
+        got = {r.node: r.component for r in connected_components(near.links(rows, crowded=crowded, hashes=hashes, levels=levels)).collect()}
         assert [got.get(i, i) for i in range(len(texts))] == components_of(texts)
 
 
+def test_empty_table_and_rows_without_text(spark):
+    none = spark.createDataFrame([], "row long, text string")
+    assert near.links(none).collect() == []
+    assert near.drop_near_copies(frame(spark, [])).collect() == []
+    rows = [(i, t, "en", "s", 0, "c", 1, "v", 1) for i, t in enumerate([None, "", " ", None, "one two", "One  two", "three"])]
+    assert sorted(r.doc_id for r in near.drop_near_copies(frame(spark, rows)).collect()) == [0, 4, 6]
+
+
 def test_stage_keeps_one_of_each_group_at_the_limit(spark):
     texts = texts_around_the_limit()
     rows = [(i, t, "en", "s", 0, "c", 1, "v", 1) for i, t in enumerate(texts)]
