@@ -4,7 +4,7 @@ Found values are validated (Luhn digit, octets, calendar, issued ranges) and per
 card of the same leading digit with a right check digit, an SSN one that could be issued, a date a date, an address an
 address. Each permutation is of the set of valid values itself, so every pseudonym passes the validation that its value
 passed. It depends on the caller's key and the value alone (rounds are SHA-256), so equal values stay linked across
-documents, whatever their separators. E-mail names and secrets, which are not numbers, become keyed digests. Values that
+documents, whatever their separators; dates month first are permuted among those of a day over 12. E-mail names and secrets, which are not numbers, become keyed digests. Values that
 fail validation stay as they are.
 
 Found are e-mail addresses, secrets after a name such as ``token =``, IPv4 addresses, dates from 1900-01-01 to 2099-12-31
@@ -40,6 +40,8 @@ COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]
 ROUNDS = 8
 #: Dates from 1900-01-01 to 2099-12-31, as 17 x 4297 days.
 DAYS = (17, 4297)
+#: Permutations of a date read month first until its day is over 12; that 100 do not do has a chance of 1 in 10 ** 40.
+WALK = 100
 #: SSNs that could be issued, as areas (001 to 899 without 666) x groups 01 to 99 and serials 0001 to 9999.
 SSNS = (898, 99 * 9999)
 
@@ -139,7 +141,7 @@ def kind_of(m: Column) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The value that stands for a found value of a kind; null kind: the value itself."""
-    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key), F.lower(F.regexp_extract(m, "^([^@]+)@", 1))), 256), 1, 12), F.regexp_extract(m, "(@.*)$", 1))
+    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key), F.lower(F.regexp_extract(m, "^([^@]+)@", 1))), 256), 1, 26), F.regexp_extract(m, "(@.*)$", 1))
     value = F.regexp_extract(m, r"([A-Za-z0-9_\-/+]+)$", 1)
     blocks = _let(
         F.sha2(value, 256),  # a long value is read once
@@ -153,11 +155,14 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         lambda p: F.concat_ws(".", F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256),
     )
     forms = [_date(m, f) for f in DATES]
-    other = _let(
-        _let(F.datediff(F.coalesce(*forms), F.lit("1900-01-01").cast("date")),
-             lambda n: feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), f"{key}/date")),
-        lambda p: F.date_add(F.lit("1900-01-01").cast("date"), (p["a"] * DAYS[1] + p["b"]).cast("int")),
-    )
+    start = F.lit("1900-01-01").cast("date")
+    swap = lambda n: _let(
+        feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), f"{key}/date"), lambda p: (p["a"] * DAYS[1] + p["b"]).cast("int")
+    )
+    # A date read month first is one of a day over 12, and so must its pseudonym be: permuted on until it is.
+    legible = lambda n: forms[0].isNotNull() | forms[1].isNotNull() | (F.dayofmonth(F.date_add(start, n)) > 12)
+    walk = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), n, lambda acc, _: F.when(legible(acc), acc).otherwise(swap(acc)))
+    other = _let(_let(_let(F.datediff(F.coalesce(*forms), start), swap), walk), lambda n: F.date_add(start, n))
     day = _let(other, lambda x: F.coalesce(*[F.when(d.isNotNull(), F.date_format(x, f)) for d, f in zip(forms, DATES, strict=True)]))
     # The country code stays; the rest of a phone number is permuted.
     lead = F.when(m.rlike("^\\+[0-9]+$"), F.regexp_extract(m, f"^({COUNTRY})", 1)).otherwise(F.regexp_extract(m, r"^(\+[0-9]{1,3}[ \-]?|)", 1))

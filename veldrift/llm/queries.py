@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("veldrift.pii.key", "only for tests")  # a real run sets its own key
+    key = spark.conf.get("veldrift.pii.key", None) or secrets.token_hex(32)  # without the setting no two runs share a key
     return pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
 
 
