@@ -76,3 +76,9 @@ def test_a_hot_conversation_goes_through_the_links(spark):
     parts = sorted(chat.conversation_json(out, rows=300).filter("conv_id = 1").collect(), key=lambda r: r.part)
     order = [m.get("tool_call", {}).get("id") or m.get("tool_call_id") for r in parts for m in json.loads(r.json)][1:]
     assert order == [f"reply-1-{t if t % 2 else t - 1}" for t in range(1, 2000)]
+
+
+def test_enum_and_integer_follow_json():
+    assert chat.problems(True, {"enum": [1]}) and chat.problems([True], {"enum": [[1]]}) and chat.problems({"a": 0}, {"enum": [{"a": False}]})
+    assert not chat.problems(1.0, {"enum": [1], "type": "integer"}) and not chat.problems(False, {"enum": [False]})
+    assert chat.problems(1.5, {"type": "integer"}) and chat.problems(True, {"type": "integer"})

@@ -62,15 +62,27 @@ def strict(text: str) -> Any:
     return json.loads(text, parse_constant=refuse)
 
 
+def alike(a: Any, b: Any) -> bool:
+    """Equal as JSON: true is not 1, but 1.0 is."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(alike, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(alike(a[k], b[k]) for k in a)
+    return a == b
+
+
 def problems(arguments: Any, schema: Any, at: str = "$") -> list[str]:
     """What is wrong with arguments under a JSON schema (type, required, properties, items, enum)."""
     if not isinstance(schema, dict):
         return []
     kind = schema.get("type")
     kinds = [k for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str) and k in TYPES]
-    is_kind = lambda k: isinstance(arguments, TYPES[k]) and not (k in ("integer", "number") and isinstance(arguments, bool))
+    whole = int(arguments) if isinstance(arguments, float) and arguments.is_integer() else arguments
+    is_kind = lambda k: isinstance(whole if k == "integer" else arguments, TYPES[k]) and not (k in ("integer", "number") and isinstance(arguments, bool))
     out = [] if not kinds or any(map(is_kind, kinds)) else [f"{at}: not of type {' or '.join(kinds)}"]
-    if isinstance(schema.get("enum"), list) and arguments not in schema["enum"]:
+    if isinstance(schema.get("enum"), list) and not any(alike(arguments, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(arguments, dict):
         needed, known = schema.get("required"), schema.get("properties")
