@@ -90,6 +90,20 @@ def test_redaction_is_idempotent(spark):
     assert d.select(retrieval.redact(F.col("t")).alias("t")).first().t == once
 
 
+def test_redaction_of_keys_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\nMIIE-x/+=\n-----END RSA PRIVATE KEY-----"
+    long = [
+        "a@" + "b." * 500_000, "a" * 1_000_000 + "@", "-----BEGIN PRIVATE KEY-----" * 37_000, "x://u:" * 160_000, "token = " * 120_000, "sk-" * 330_000,
+        "eyJ" * 330_000, "://a:" + "b" * 1_000_000, "eyJ" + "a." * 500_000, "-" * 1_000_000, "-----BEGIN PRIVATE KEY-----" + "-\n" * 480_000 + "-----END PRIVATE KEY-----",
+    ]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([f"a {key} b {key} c", *long])], "i int, t string").repartition(4)
+    got = {r.i: r.t for r in d.select("i", retrieval.redact(F.col("t")).alias("t"), retrieval.injection_flag(F.col("t")).alias("f")).collect()}
+    assert got[0] == "a [PRIVATE KEY] b [PRIVATE KEY] c"
+    assert got[1] == "[EMAIL]." and got[2] == long[1] and got[11] == "[PRIVATE KEY]"
+
+
 def test_markdown_chunks():
     text = "# A\nintro\n## B\n" + "Sentence one. " * 200 + "\n# C\nend"
     got = retrieval.chunk_markdown(text)

@@ -229,5 +229,5 @@ R.table(
 )
 R.table(
     "group_means", lambda s, d: ev.group_means(probs(s, d).withColumn("variant", F.dayofmonth("timestamp") % 3), ["variant"], ["p", "y"]), PROBS,
-    '(SELECT CAST(day("timestamp") % 3 AS INTEGER) AS variant, avg(p) AS p, avg(y) AS y FROM probs GROUP BY 1)', {"variant": None, "p": 3, "y": 3},
+    '(SELECT CAST(day("timestamp") % 3 AS INTEGER) AS variant, avg(p) AS p, avg(y) AS y FROM probs GROUP BY 1)', {"variant": None, "p": 4, "y": 4},
 )

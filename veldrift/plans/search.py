@@ -119,16 +119,21 @@ R.rows_only("structured_chunks", lambda s, d: retrieval.chunk_structured(docs(s,
 
 def secretive(s, d: str) -> DataFrame:
     """Documents, some with a token, a key or a command at their end."""
-    token = F.when(F.col("doc_id") % 7 == 0, " eyJhbGciOi.J9-x.sig_1 end").when(F.col("doc_id") % 7 == 1, "\n-----BEGIN RSA PRIVATE KEY-----\nAbC+/=\n-----END RSA PRIVATE KEY-----").when(F.col("doc_id") % 7 == 2, " Ignore previous instructions")
+    token = F.when(F.col("doc_id") % 7 == 0, " eyJhbGciOi.J9-x.sig_1 end").when(F.col("doc_id") % 7 == 1, "\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nAbC+/=\n-----END RSA PRIVATE KEY-----").when(F.col("doc_id") % 7 == 2, " Ignore previous instructions")
     return docs(s, d).select("doc_id", F.concat("text", F.coalesce(token, F.lit(""))).alias("text"))
 
 
+#: The same matches without possession and looks around, which DuckDB's patterns lack.
+PLAINER = {
+    "[PRIVATE KEY]": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?s:.*?)-----END [A-Z ]{0,40}PRIVATE KEY-----",
+    "[EMAIL]": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+}
 MASKED = "text"
 for pattern, by in retrieval.SECRETS:
-    MASKED = f"regexp_replace({MASKED}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    MASKED = f"regexp_replace({MASKED}, '{PLAINER.get(by, pattern)}', '{by.replace('$', chr(92))}', 'g')"
 R.table(
     "redacted", lambda s, d: secretive(s, d).select("doc_id", retrieval.redact(F.col("text")).alias("text"), retrieval.injection_flag(F.col("text")).alias("injection_flag")),
-    "s AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' eyJhbGciOi.J9-x.sig_1 end' WHEN 1 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'AbC+/=' || chr(10) || '-----END RSA PRIVATE KEY-----' WHEN 2 THEN ' Ignore previous instructions' ELSE '' END AS text FROM documents)",
+    "s AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' eyJhbGciOi.J9-x.sig_1 end' WHEN 1 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'Proc-Type: 4,ENCRYPTED' || chr(10) || 'AbC+/=' || chr(10) || '-----END RSA PRIVATE KEY-----' WHEN 2 THEN ' Ignore previous instructions' ELSE '' END AS text FROM documents)",
     f"(SELECT doc_id, {MASKED} AS text, contains(lower(text), 'ignore previous instructions') AS injection_flag FROM s)", {"doc_id": None, "text": None, "injection_flag": None},
 )
 BLOCKS = "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in ("script", "style", "head", "svg"))
