@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import probability
 from ..operators import evaluation as ev
 from ..operators import indicators as ind
-from ..operators import learning, selection
+from ..operators import explain, learning, selection
 from .adapters import PROBS
 from .features import S, base, with_macro, with_sentiment
 from .markets import probs
@@ -176,7 +176,8 @@ R.rows_only("regime_models", lambda s, d: learning.by_regime(with_regime(s, d)))
 R.rows_only("pooled_routing", lambda s, d: learning.routing(features(s, d)))
 R.rows_only("feature_importance", lambda s, d: learning.importance(features(s, d)))
 R.rows_only("permutation_importance", lambda s, d: learning.permutation_importance(features(s, d)))
-R.rows_only("smote", lambda s, d: learning.smote(features(s, d)))
+R.rows_only("smote", lambda s, d: learning.smote(learning.prepare(ind.add_labels(base(s, d), rise=0.05)).filter("part <> 'test'")))
+R.rows_only("shap_importance", lambda s, d: explain.forest_importance(features(s, d), trees=50))
 R.rows_only("hyperparameter_search", lambda s, d: learning.search(features(s, d), [{"reg": r, "mix": 0.0} for r in (0.01, 0.1, 1.0)], "elastic"))
 R.rows_only("best_of_four", lambda s, d: selection.best_of(selection.candidates(with_news(s, d), rounds=20)))
 R.rows_only("model_inspection", lambda s, d: selection.inspected(features(s, d)))
