@@ -11,6 +11,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
@@ -288,7 +289,16 @@ def regime(ret: Column, vol: Column, vix: Column, move: float = 0.05 / 60, calm:
 
 def terciles(d: DataFrame, x: str, train: Column, key: str = "ticker") -> DataFrame:
     """Tercile (low, mid, high) of ``x`` by cut points of the training rows of each key."""
-    cuts = d.filter(train).groupBy(key).agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cut"))
+    # The places of the cuts in each key's order; a key's values are sorted, not held.
+    order = W.partitionBy(key).orderBy(x)
+    some = d.filter(train).filter(F.col(x).isNotNull()).select(key, F.col(x).cast("double").alias("_x"), F.row_number().over(order).alias("_n"), F.count(F.lit(1)).over(W.partitionBy(key)).alias("_all"))
+
+    def cut(share: float) -> Column:
+        at = (F.col("_all") - 1) * share
+        low, high = (F.max(F.when(F.col("_n") == F.floor(at) + k, F.col("_x"))) for k in (1, 2))
+        return low + F.coalesce(high - low, F.lit(0.0)) * F.max(at - F.floor(at))
+
+    cuts = some.groupBy(key).agg(F.array(cut(1 / 3), cut(2 / 3)).alias("_cut"))
     label = F.when(F.col(x) <= F.col("_cut")[0], "low").when(F.col(x) <= F.col("_cut")[1], "mid").when(F.col(x).isNotNull(), "high")
     return d.join(cuts, key, "left").withColumn(f"{x}_regime", label).drop("_cut")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.prefix import running_sum, written
+from ..functions.quantiles import percentiles
 from ..functions.tails import chi2_tail, correlation_tail, f_tail, normal_two_sided, t_two_sided
 
 
@@ -75,22 +76,19 @@ def outliers(df: DataFrame, method: str = "iqr", factor: float = 1.5) -> DataFra
     if method not in ("iqr", "zscore"):
         raise ValueError(f"method must be iqr or zscore, not {method!r}")
     names = numeric(df)
-    cuts = []
-    for c in names:
-        if method == "iqr":
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-            spread = (q[1] - q[0]) * factor
-            lo, hi = q[0] - spread, q[1] + spread
-        else:
-            spread = F.stddev_pop(c) * factor
-            lo, hi = F.avg(c) - spread, F.avg(c) + spread
-        cuts += [lo.alias(f"{c}__lower"), hi.alias(f"{c}__upper"), (spread > 0).alias(f"{c}__spread")]
-    bounds = df.agg(*cuts)  # one row
+    if method == "iqr":
+        quartiles = percentiles(df, [F.col(c) for c in names], [0.25, 0.75])
+        cuts = [(None, None, False) if a is None else (a - (b - a) * factor, b + (b - a) * factor, b > a) for a, b in quartiles]
+    else:
+        both = df.agg(*[f(c).cast("double").alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # one row
+        at = [(both[f"m{i}"], both[f"s{i}"]) for i in range(len(names))]
+        cuts = [(None, None, False) if s is None else (m - s * factor, m + s * factor, s * factor > 0) for m, s in at]
     aggs = []
-    for c in names:
-        out = F.col(f"{c}__spread") & ((F.col(c) < F.col(f"{c}__lower")) | (F.col(c) > F.col(f"{c}__upper")))
-        aggs += [F.first(f"{c}__lower").alias(f"{c}__lower"), F.first(f"{c}__upper").alias(f"{c}__upper"), F.sum(F.when(out, 1).otherwise(0)).cast("long").alias(f"{c}__n_outliers"), F.count(c).alias(f"{c}__n")]
-    wide = df.select(*[F.col(c) for c in names]).crossJoin(F.broadcast(bounds)).agg(*aggs)
+    for c, (lower, upper, spread) in zip(names, cuts, strict=True):
+        lo, hi = F.lit(lower).cast("double"), F.lit(upper).cast("double")
+        out = F.lit(spread) & ((F.col(c) < lo) | (F.col(c) > hi))
+        aggs += [lo.alias(f"{c}__lower"), hi.alias(f"{c}__upper"), F.sum(F.when(out, 1).otherwise(0)).cast("long").alias(f"{c}__n_outliers"), F.count(c).alias(f"{c}__n")]
+    wide = df.select(*[F.col(c) for c in names]).agg(*aggs)
     return _long(wide, names, ["lower", "upper", "n_outliers", "n"]).withColumn("fraction", F.round(F.try_divide(F.col("n_outliers"), F.col("n")), 4)).drop("n")
 
 
@@ -121,9 +119,10 @@ def correlated_pairs(df: DataFrame, names: list[str], threshold: float = 0.9) ->
 def describe(df: DataFrame, names: list[str]) -> DataFrame:
     """column, n, mean, sd, min, quartiles, max, bias-corrected skew and excess kurtosis."""
     aggs = []
-    for c in names:
+    quartiles = percentiles(df, [F.col(c) for c in names], [0.25, 0.5, 0.75])
+    for c, three in zip(names, quartiles, strict=True):
         n = F.count(c)
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in three]
         skew = F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))
         kurt = F.when(n > 3, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0)) * ((n + 1) * F.kurtosis(c) + 6))
         fields = {"n": n, "mean": F.avg(c), "sd": F.stddev_samp(c), "min": F.min(c).cast("double"), "q1": q[0], "median": q[1], "q3": q[2], "max": F.max(c).cast("double"), "skew": skew, "kurtosis": kurt}
@@ -344,11 +343,10 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
 def psi(df: DataFrame, names: list[str], reference: Column, current: Column, bins: int = 10) -> DataFrame:
     """Population stability index of each column: (column, psi, verdict). Bins are the reference's deciles, closed to
     the right; shares are smoothed by 1e-6."""
-    share = [F.lit(k / bins) for k in range(bins + 1)]
-    edges = df.agg(*[F.array_distinct(F.percentile(F.when(reference, F.col(c)), F.array(*share))).alias(c) for c in names])  # one row
-    edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in names])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), F.col(f"_e_{c}").alias("e")) for c in names])
-    d = df.withColumns({"_ref": reference, "_cur": current}).filter("_ref or _cur").crossJoin(F.broadcast(edges))
+    deciles = percentiles(df, [F.when(reference, F.col(c)) for c in names], [k / bins for k in range(bins + 1)])
+    edges = [F.array(*[F.lit(e) for e in dict.fromkeys(v)]).cast("array<double>") if v[0] is not None else F.array().cast("array<double>") for v in deciles]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), e.alias("e")) for c, e in zip(names, edges, strict=True)])
+    d = df.withColumns({"_ref": reference, "_cur": current}).filter("_ref or _cur")
     d = d.select("_ref", "_cur", F.explode(rows).alias("r")).filter("r.x is not null")
     inner = F.slice(F.col("r.e"), F.lit(2), F.greatest(F.size("r.e") - 2, F.lit(0)))
     d = d.select("_ref", "_cur", "r.column", F.size(F.filter(inner, lambda e: e < F.col("r.x"))).alias("bin"), (F.size("r.e") - 1).alias("k"))

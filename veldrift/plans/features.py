@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
+from ..functions.quantiles import percentiles
 from ..operators import indicators as ind
 from ..operators import sentiment
 from .adapters import BARS, BASE, LEXICON, MACRO, NEWS, SCORED, bars, macro, news
@@ -215,8 +216,8 @@ def scaled_labels(s, d: str) -> DataFrame:
     b = bars(s, d)
     for h in (1, 5, 20):
         f = b.select("ticker", "timestamp", (F.try_divide(w.lead("close", h), F.col("close")) - 1).alias("f")).filter("f is not null")
-        cut = f.agg(F.percentile("f", 0.7).alias("cut"))
-        part = f.crossJoin(F.broadcast(cut)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("f") > F.col("cut")).cast("long")).alias("n_up"), F.first("cut").alias("cut")).withColumn("horizon", F.lit(h))
+        cut = F.lit(percentiles(f, [F.col("f")], [0.7])[0][0]).cast("double")
+        part = f.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("f") > cut).cast("long")).alias("n_up")).withColumns({"cut": cut, "horizon": F.lit(h)})
         out = part if out is None else out.unionByName(part)
     return out
 
