@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.prefix import running_sum, written
+from ..functions.inversions import discordant
 from ..functions.quantiles import percentiles
 from ..functions.tails import chi2_tail, correlation_tail, f_tail, normal_two_sided, t_two_sided
 
@@ -316,12 +317,12 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b over the distinct pairs of values with their counts, and its p-value by the normal law with the
-    variance of ties; meant for columns of few values."""
-    c = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    o = c.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    sign = F.signum(F.col("x2") - F.col("x")) * F.signum(F.col("y2") - F.col("y"))
-    s = c.join(o, F.col("x") < F.col("x2")).agg(F.coalesce(F.sum(sign * F.col("n") * F.col("n2")), F.lit(0.0)).alias("s"))
+    """Kendall's tau-b, and its p-value by the normal law with the variance of ties. Pairs in opposite order are counted by
+    ``inversions.discordant`` over the different pairs of values; pairs in the same order are what neither they nor the ties
+    take of all pairs."""
+    c = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    c = written(c, "values")
+    opposite = discordant(c)
 
     def ties(of: str) -> DataFrame:
         m = F.col("m").cast("double")
@@ -329,7 +330,9 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
             F.sum(m * (m - 1) / 2).alias(f"t{of}"), F.sum(m * (m - 1) * (m - 2)).alias(f"u{of}"), F.sum(m * (m - 1) * (2 * m + 5)).alias(f"v{of}"), F.sum("m").alias(f"n{of}")
         )
 
-    d = s.crossJoin(ties("x")).crossJoin(ties("y")).withColumn("n", F.col("nx"))
+    both = F.col("n").cast("double")
+    d = ties("x").crossJoin(ties("y")).crossJoin(c.agg(F.sum(both * (both - 1) / 2).alias("t"))).withColumn("n", F.col("nx"))
+    d = d.withColumn("s", F.col("n").cast("double") * (F.col("n") - 1) / 2 - F.col("tx") - F.col("ty") + F.col("t") - 2.0 * F.lit(float(opposite)))
     n = F.col("n").cast("double")
     pairs = n * (n - 1)
     variance = (pairs * (2 * n + 5) - F.col("vx") - F.col("vy")) / 18 + 2 * F.col("tx") * F.col("ty") / pairs + F.col("ux") * F.col("uy") / (9 * pairs * (n - 2))

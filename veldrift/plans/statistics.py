@@ -192,13 +192,14 @@ R.table(
     "spearman", lambda s, d: prof.spearman(base(s, d), "volume", "close"),
     BASE, with_p(r_sql('statistic', 'n'), "(SELECT corr(a, b) AS statistic, count(*) AS n FROM (SELECT rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0 AS a, rank() OVER (ORDER BY close) + (count(*) OVER (PARTITION BY close) - 1) / 2.0 AS b FROM base))"), {"statistic": 6, "n": None, "pvalue": 6},
 )
-R.table(
-    "kendall", lambda s, d: prof.kendall(lineitem(s, d), "l_discount", "l_tax"),
-    "c AS (SELECT l_discount AS x, l_tax AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), " + ", ".join(f"t{k} AS (SELECT sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS u, sum(m * (m - 1) * (2 * m + 5)) AS v, sum(m) AS n FROM (SELECT sum(n)::DOUBLE AS m FROM c GROUP BY {k}))" for k in "xy"),
-    with_p(normal_sql("z"), """(SELECT s / sqrt((p / 2 - tx.t) * (p / 2 - ty.t)) AS statistic, CAST(ty.n AS BIGINT) AS n, s / sqrt((p * (2 * ty.n + 5) - tx.v - ty.v) / 18 + 2 * tx.t * ty.t / p + tx.u * ty.u / (9 * p * (ty.n - 2))) AS z FROM
-      (SELECT sum(sign(b.x - a.x) * sign(b.y - a.y) * a.n * b.n)::DOUBLE AS s FROM c a JOIN c b ON a.x < b.x), tx, ty, (SELECT n * (n - 1) AS p FROM ty))"""),
-    {"statistic": 8, "n": None, "pvalue": 6},
-)
+for query, of, x, y in (("kendall", "lineitem", "l_discount", "l_tax"), ("kendall_continuous", "orders", "o_totalprice", "o_custkey")):
+    R.table(
+        query, lambda s, d, of=of, x=x, y=y: prof.kendall(table(s, d, of), x, y),
+        f"c AS (SELECT {x}::DOUBLE AS x, {y}::DOUBLE AS y, count(*) AS n FROM {of} GROUP BY 1, 2), " + ", ".join(f"t{k} AS (SELECT sum(m * (m - 1) / 2) AS t, sum(m * (m - 1) * (m - 2)) AS u, sum(m * (m - 1) * (2 * m + 5)) AS v, sum(m) AS n FROM (SELECT sum(n)::DOUBLE AS m FROM c GROUP BY {k}))" for k in "xy"),
+        with_p(normal_sql("z"), """(SELECT s / sqrt((p / 2 - tx.t) * (p / 2 - ty.t)) AS statistic, CAST(ty.n AS BIGINT) AS n, s / sqrt((p * (2 * ty.n + 5) - tx.v - ty.v) / 18 + 2 * tx.t * ty.t / p + tx.u * ty.u / (9 * p * (ty.n - 2))) AS z FROM
+          (SELECT sum(sign(b.x - a.x) * sign(b.y - a.y) * a.n * b.n)::DOUBLE AS s FROM c a JOIN c b ON a.x < b.x), tx, ty, (SELECT n * (n - 1) AS p FROM ty))"""),
+        {"statistic": 8, "n": None, "pvalue": 6},
+    )
 R.table(
     "pearson", lambda s, d: prof.pearson(base(s, d), "volume", "return"), BASE,
     with_p(r_sql("statistic", "n"), """(SELECT corr(volume, "return") AS statistic, count(*) AS n FROM base WHERE volume IS NOT NULL AND "return" IS NOT NULL)"""), {"statistic": 6, "n": None, "pvalue": 6},
