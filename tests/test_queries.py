@@ -22,6 +22,7 @@ def test_query_equals_its_sql(spark, con, name):
 #: Queries whose values depend on seeds or algorithms, with what their rows must hold.
 BOUNDS = {
     "shap_importance": "mean_abs_shap >= abs(mean_shap) - 1e-12 and mean_abs_shap between 0 and 1 and n > 0 and rank between 1 and 14",
+    "boosted_by_leaves": "auc between 0.5 and 1 and brier between 0 and 0.25 and majority >= 0.5",
     "smote": "label in (0, 1) and `return` is not null and rsi between 0 and 100",
     "structured_chunks": "doc_id is not null and char_len between 1 and 1000 and length(file_hash) = 16",
     "risk_of_ruin": "p_ruin between 0 and 1 and p_dd50 <= p_dd30 and p5_final <= median_final and median_final <= p95_final and length(report) > 50",
