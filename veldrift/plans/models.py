@@ -177,7 +177,7 @@ R.rows_only("pooled_routing", lambda s, d: learning.routing(features(s, d)))
 R.rows_only("feature_importance", lambda s, d: learning.importance(features(s, d)))
 R.rows_only("permutation_importance", lambda s, d: learning.permutation_importance(features(s, d)))
 R.rows_only("smote", lambda s, d: learning.smote(learning.prepare(ind.add_labels(base(s, d), rise=0.05)).filter("part <> 'test'")))
-R.rows_only("boosted_by_leaves", lambda s, d: boosting.scored(features(s, d), boosting.Settings(rounds=6, leaves=15, rate=0.2)))
+R.rows_only("boosted_by_leaves", lambda s, d: boosting.scored(features(s, d), boosting.Settings(rounds=5, leaves=8, rate=0.2)))
 R.rows_only("shap_importance", lambda s, d: explain.forest_importance(features(s, d), trees=50))
 R.rows_only("hyperparameter_search", lambda s, d: learning.search(features(s, d), [{"reg": r, "mix": 0.0} for r in (0.01, 0.1, 1.0)], "elastic"))
 R.rows_only("best_of_four", lambda s, d: selection.best_of(selection.candidates(with_news(s, d), rounds=20)))

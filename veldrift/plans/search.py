@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graphs, retrieval
+from ..operators import graphs, retrieval, vector_index
 from ..sources import files
 from .adapters import GRAPH, graph, table
 from .registry import Registry
@@ -53,6 +53,16 @@ near AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
 R.table("vector_top10", lambda s, d: retrieval.vector_search(vectors(s, d), asked_vectors(s, d), 10), VEC, "near", {"query_id": None, "id": None, "score": 5, "rank": None})
 
 
+def indexed(s, d: str) -> DataFrame:
+    """Recall at 10 of the index against the exact search, as whether it is at least 0.9."""
+    found = vector_index.search(vector_index.build(vectors(s, d)), asked_vectors(s, d), 10)
+    r = vector_index.recall(found, retrieval.vector_search(vectors(s, d), asked_vectors(s, d), 10))
+    return r.select("queries", (F.col("recall") >= 0.9).alias("recall_at_least_090"))
+
+
+R.table("vector_index_recall", indexed, "", "(SELECT count(*) AS queries, true AS recall_at_least_090 FROM embeddings WHERE vec_id % 50 = 0)", {"queries": None, "recall_at_least_090": None})
+
+
 def fused(s, d: str) -> DataFrame:
     """Cosine ranking and the same vectors ranked by id distance, fused."""
     first = retrieval.vector_search(vectors(s, d), asked_vectors(s, d), 10)
