@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sum, written
 from . import evaluation as ev
+from . import grouped
 
 DECLARED = ["return", "volatility", "rsi", "hl_range", "oc_range", "log_volume", "vwap_ratio", "lag_1", "lag_5", "lag_20", "momentum_10", "momentum_21", "day_of_week", "quarter"]
 SENTIMENT = ["sentiment_score", "sentiment_ma5", "sentiment_vol"]
@@ -202,17 +203,18 @@ def one_hot(d: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def routing(d: DataFrame, weak: float = 0.55) -> DataFrame:
-    """Own and pooled model by ticker; a ticker goes to the pool if its own is weak and the pool's is better."""
+    """Own and pooled model by ticker; a ticker goes to the pool if its own is weak and the pool's is better. The own models
+    are fitted together, so the number of jobs does not depend on the number of tickers."""
     tickers = sorted(r[0] for r in d.select("ticker").distinct().collect())
     wide = one_hot(d, "ticker", tickers)
     names = [*resolve(d.columns), *[f"ticker_{t}" for t in tickers[1:]]]
     pool = pipeline(names, "ridge").fit(wide.filter("part <> 'test'"))
     test = with_p(pool, wide.filter("part = 'test'"), "p_pool")
-    out = None
-    for t in tickers:
-        own = with_p(fit(d.filter((F.col("ticker") == t) & (F.col("part") != "test")), "ridge"), test.filter(F.col("ticker") == t), "p_own")
-        row = ev.auc(own, "p_own", "label").select(F.lit(t).alias("ticker"), F.col("auc").alias("auc_own")).crossJoin(ev.auc(own, "p_pool", "label").select(F.col("auc").alias("auc_pool")))
-        out = row if out is None else out.unionByName(row)
+    plain = resolve(d.columns)
+    own = grouped.fit(d.filter("part <> 'test'"), "ticker", plain)
+    test = written(grouped.with_p(test, own, "ticker", plain, "p_own").select("ticker", "label", "p_own", "p_pool"), "routed")
+    area = lambda c: grouped.auc_by(test, "ticker", f"p_{c}", "label").select("ticker", F.col("auc").alias(f"auc_{c}"))
+    out = area("own").join(area("pool"), "ticker")
     pooled = (F.col("auc_own") < weak) & (F.col("auc_pool") > F.col("auc_own"))
     return out.withColumn("route", F.when(pooled, "pool").otherwise("own"))
 

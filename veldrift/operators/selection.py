@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import written
 from . import evaluation as ev
-from . import learning
+from . import grouped, learning
 
 
 def candidates(d: DataFrame, trees: int = 200, rounds: int = 100) -> DataFrame:
@@ -79,12 +79,12 @@ def latest(d: DataFrame, routes: DataFrame, kind: str = "ridge", up: float = 0.5
     labelled = written(d.filter(F.col("label").isNotNull()), "labelled")
     rows = last_rows(d, names).join(routes.select("ticker", "route"), "ticker", "left").withColumn("route", F.coalesce("route", F.lit("pool")))
     rows = written(rows.drop("p"), "last")
-    own = sorted(r.ticker for r in rows.filter("route = 'own'").select("ticker").collect())  # a row per ticker
-    pooled = rows.filter("route <> 'own'")
+    own, pooled = rows.filter("route = 'own'"), rows.filter("route <> 'own'")
     out = None if pooled.isEmpty() else learning.with_p(learning.fit(labelled, kind), pooled)
-    for t in own:
-        one = learning.with_p(learning.fit(labelled.filter(F.col("ticker") == t), kind), rows.filter(F.col("ticker") == t))
-        out = one if out is None else out.unionByName(one)
+    if not own.isEmpty():
+        mine = labelled.join(own.select("ticker"), "ticker", "left_semi")
+        one = grouped.with_p(own, grouped.fit(mine, "ticker", names), "ticker", names)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out.select("ticker", "timestamp", "route", "p", (F.col("p") >= up).alias("up"))
 
 
