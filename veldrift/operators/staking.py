@@ -197,6 +197,16 @@ def moments(returns: DataFrame, key: str = "ticker", time: str = "timestamp", x:
     return a.join(b, "t").groupBy("a", "b").agg(F.avg("x").alias("mean_a"), F.avg("y").alias("mean_b"), F.covar_samp("x", "y").alias("cov"))
 
 
+def moment_arrays(pairs: DataFrame, most: int = 500) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, means and covariances of ``moments``, for an optimiser on the driver: over ``most`` keys are refused."""
+    if pairs.select("a").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} assets at once")
+    m = pairs.toPandas()
+    names = sorted(m.a.unique())
+    table = m.pivot(index="a", columns="b", values="cov").loc[names, names].fillna(0.0)
+    return names, m.drop_duplicates("a").set_index("a").mean_a.loc[names].to_numpy(float), table.to_numpy(float)
+
+
 def project_simplex(v: np.ndarray, cap: float) -> np.ndarray:
     """Nearest weights within 0 and ``cap`` that sum to 1."""
     lo, hi = v.min() - 1, v.max()
@@ -227,16 +237,68 @@ def max_sharpe(mean: np.ndarray, cov: np.ndarray, cap: float = 0.4, steps: int =
     return best
 
 
-def frontier(mean: np.ndarray, cov: np.ndarray, points: int = 20, cap: float = 1.0, steps: int = 800) -> pd.DataFrame:
-    """Least volatility at each of ``points`` target returns."""
+def least_variance(mean: np.ndarray, cov: np.ndarray, target: float, cap: float) -> np.ndarray | None:
+    """Weights from 0 to ``cap`` that sum to 1 and return ``target``, of the least variance; None if there are none.
+
+    An active set of weights at a bound: the others solve the equations of the least variance. A step that leaves the bounds
+    stops at the first and holds it; at a solution the bound that costs most is let go, until none costs anything.
+    """
+    n = len(mean)
+
+    def greedy(order: np.ndarray) -> np.ndarray:
+        w, left = np.zeros(n), 1.0
+        for i in order:
+            w[i] = min(cap, left)
+            left -= w[i]
+        return w
+
+    low, high = greedy(np.argsort(mean, kind="stable")), greedy(np.argsort(-mean, kind="stable"))
+    spread = (high - low) @ mean
+    if n * cap < 1 - 1e-12 or not low @ mean - 1e-12 <= target <= high @ mean + 1e-12:
+        return None
+    w = low + (high - low) * (np.clip((target - low @ mean) / spread, 0, 1) if spread > 1e-15 else 0.0)
+    scale = np.trace(cov) / n or 1.0
+    q, rows = cov / scale, np.stack([np.ones(n), mean / max(np.abs(mean).max(), 1e-300)])
+    held = np.where(w <= 1e-12, -1, np.where(w >= cap - 1e-12, 1, 0))
+    for _ in range(100 * n):
+        free = np.flatnonzero(held == 0)
+        step = np.zeros(n)
+        kkt = np.block([[q[np.ix_(free, free)], rows[:, free].T], [rows[:, free], np.zeros((2, 2))]])
+        found = np.linalg.lstsq(kkt, np.append(-(q @ w)[free], [0.0, 0.0]), rcond=1e-13)[0]
+        step[free] = found[: len(free)]
+        if np.abs(step).max(initial=0) < 1e-11:
+            # With few free weights the two multipliers are those that fit them best.
+            gradient = q @ w + rows.T @ found[len(free) :]
+            cost = np.where(held < 0, gradient, np.where(held > 0, -gradient, 0.0))
+            if cost.min(initial=0) >= -1e-10:
+                return w
+            held[cost.argmin()] = 0
+            continue
+        room = np.where(step > 0, (cap - w) / np.where(step > 0, step, 1), np.where(step < 0, -w / np.where(step < 0, step, -1), np.inf))
+        room[free] = np.maximum(room[free], 0)
+        first = free[room[free].argmin()]
+        if room[first] < 1:
+            w = w + room[first] * step
+            held[first] = 1 if step[first] > 0 else -1
+            w[first] = cap if step[first] > 0 else 0.0
+        else:
+            w = w + step
+    return w
+
+
+def frontier(mean: np.ndarray, cov: np.ndarray, points: int = 20, cap: float = 0.3, risk_free: float = 0.0) -> pd.DataFrame:
+    """(target, volatility, sharpe, weights): the least volatility at each of ``points`` target returns from the least to the
+    largest mean. No weight exceeds ``cap`` (or a little over an equal share, if that is more); targets that the cap puts out
+    of reach are left out. One asset has no frontier."""
+    n = len(mean)
     rows = []
-    for target in np.linspace(mean.min(), mean.max(), points):
-        w = np.full(len(mean), 1 / len(mean))
-        for k in range(steps):
-            g = 2 * cov @ w / np.trace(cov) + 20 * (w @ mean - target) * mean / (mean @ mean + 1e-18)
-            w = project_simplex(w - 0.3 / np.sqrt(k + 1) * g / (np.linalg.norm(g) + 1e-12), cap)
-        rows.append((float(target), float(w @ mean), float(np.sqrt(w @ cov @ w))))
-    return pd.DataFrame(rows, columns=["target", "achieved", "volatility"])
+    cap = max(cap, 1 / n + 0.01) if n else cap
+    for target in np.linspace(mean.min(), mean.max(), points) if n > 1 else ():
+        w = least_variance(mean, cov, float(target), cap)
+        if w is not None:
+            sd = float(np.sqrt(max(w @ cov @ w, 0.0)))
+            rows.append((float(target), sd, float((target - risk_free) / sd) if sd > 1e-8 else 0.0, w.tolist()))
+    return pd.DataFrame(rows, columns=["target", "volatility", "sharpe", "weights"])
 
 
 def bet_correlation(bets: DataFrame, rho: float = 0.10) -> DataFrame:

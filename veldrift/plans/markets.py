@@ -221,14 +221,16 @@ R.table(
 
 def weights(s, d: str) -> DataFrame:
     """Weights of the highest Sharpe ratio, from the covariances (one row per pair of tickers)."""
-    import numpy as np
+    names, mean, cov = staking.moment_arrays(staking.moments(base(s, d)))
+    return s.createDataFrame([(x, float(v)) for x, v in zip(names, staking.max_sharpe(mean, cov), strict=True)], "ticker string, weight double")
 
-    m = staking.moments(base(s, d)).toPandas()
-    names = sorted(m.a.unique())
-    cov = m.pivot(index="a", columns="b", values="cov").loc[names, names].to_numpy()
-    mean = np.array([m[m.a == x].mean_a.iloc[0] for x in names])
-    w = staking.max_sharpe(mean, cov)
-    return s.createDataFrame([(x, float(v)) for x, v in zip(names, w, strict=True)], "ticker string, weight double")
 
+def efficient_frontier(s, d: str) -> DataFrame:
+    """The frontier of all tickers: a row for each target and ticker."""
+    names, mean, cov = staking.moment_arrays(staking.moments(base(s, d)))
+    rows = [(int(i), float(r.target), float(r.volatility), float(r.sharpe), x, float(v)) for i, r in staking.frontier(mean, cov).iterrows() for x, v in zip(names, r.weights, strict=True)]
+    return s.createDataFrame(rows, "point int, target double, volatility double, sharpe double, ticker string, weight double")
 
+
+R.rows_only("efficient_frontier", efficient_frontier)
 R.rows_only("max_sharpe_weights", weights)
