@@ -23,7 +23,7 @@ def test_query_equals_its_sql(spark, con, name):
 BOUNDS = {
     "shap_importance": "mean_abs_shap >= abs(mean_shap) - 1e-12 and mean_abs_shap between 0 and 1 and n > 0 and rank between 1 and 14",
     "pooled_routing": "auc_own between 0 and 1 and auc_pool between 0 and 1 and (route = 'pool') = (auc_own < 0.55 and auc_pool > auc_own)",
-    "efficient_frontier": "volatility > 0 and weight between 0 and 0.300000001 and abs(sharpe - target / volatility) < 1e-9",
+    "efficient_frontier": "volatility > 0 and weight between 0 and 0.600000001 and abs(sharpe - target / volatility) < 1e-9",
     "boosted_by_leaves": "auc between 0.5 and 1 and brier between 0 and 0.25 and majority >= 0.5",
     "smote": "label in (0, 1) and `return` is not null and rsi between 0 and 100",
     "structured_chunks": "doc_id is not null and char_len between 1 and 1000 and length(file_hash) = 16",

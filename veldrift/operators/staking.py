@@ -204,7 +204,7 @@ def moment_arrays(pairs: DataFrame, most: int = 500) -> tuple[list[str], np.ndar
     m = pairs.toPandas()
     names = sorted(m.a.unique())
     table = m.pivot(index="a", columns="b", values="cov").loc[names, names].fillna(0.0)
-    return names, m.drop_duplicates("a").set_index("a").mean_a.loc[names].to_numpy(float), table.to_numpy(float)
+    return names, m[m.a == m.b].set_index("a").mean_a.loc[names].to_numpy(float), table.to_numpy(float)
 
 
 def project_simplex(v: np.ndarray, cap: float) -> np.ndarray:

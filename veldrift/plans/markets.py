@@ -226,9 +226,9 @@ def weights(s, d: str) -> DataFrame:
 
 
 def efficient_frontier(s, d: str) -> DataFrame:
-    """The frontier of all tickers: a row for each target and ticker."""
+    """The frontier of all tickers, none over 0.6 of it: a row for each target and ticker."""
     names, mean, cov = staking.moment_arrays(staking.moments(base(s, d)))
-    rows = [(int(i), float(r.target), float(r.volatility), float(r.sharpe), x, float(v)) for i, r in staking.frontier(mean, cov).iterrows() for x, v in zip(names, r.weights, strict=True)]
+    rows = [(int(i), float(r.target), float(r.volatility), float(r.sharpe), x, float(v)) for i, r in staking.frontier(mean, cov, cap=0.6).iterrows() for x, v in zip(names, r.weights, strict=True)]
     return s.createDataFrame(rows, "point int, target double, volatility double, sharpe double, ticker string, weight double")
 
 
