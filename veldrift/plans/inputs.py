@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prefix
 from ..sources import files
-from ..streaming import events
+from ..streaming import events, store
 from .adapters import bars, table
 from .registry import Registry
 
@@ -84,3 +84,31 @@ R.table(
     """(SELECT event_type AS ticker, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS "timestamp", arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2)""",
     dict.fromkeys(["ticker", "timestamp", "open", "high", "low", "close", "volume"]),
 )
+
+
+def stored_stream(s, d: str) -> DataFrame:
+    """The store at the end of a stream of events, taken as writes, reads and deletes of their type and user."""
+    at, i = prefix.scratch(s, "store"), F.col("event_id")
+    op = F.when(i % 5 < 2, "write").when(i % 35 == 4, "delete").otherwise("read")
+    ops = table(s, d, "events").select(
+        F.col("event_type").alias("kind"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), op.alias("op"), F.col("ts").cast("timestamp").alias("at"), i.alias("seq"),
+        F.lit("global").alias("scope"), F.concat(F.lit("v"), i.cast("string")).alias("value"), (86_400 * (1 + i % 5)).cast("int").alias("ttl"),
+    )
+    ops.repartitionByRange(3, "at").write.parquet(f"{at}/in")  # three batches, in order of time
+    stream = s.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    q = store.changes(stream, late="60 days").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    now = ops.agg(F.max(F.col("at").cast("double"))).first()[0]
+    live = store.entries(s.read.schema(store.CHANGE).parquet(f"{at}/out"), now)
+    return live.select("kind", "key", "value", "access_count", "ttl", (F.lit(now) - F.col("created")).alias("age"), (F.lit(now) - F.col("accessed")).alias("idle"))
+
+
+R.table(
+    "store_stream", stored_stream,
+    """o AS (SELECT event_type AS kind, 'u' || user_id AS key, CASE WHEN event_id % 5 < 2 THEN 'write' WHEN event_id % 35 = 4 THEN 'delete' ELSE 'read' END AS op, epoch(ts) AS moment, event_id AS seq, 'v' || event_id AS value, CAST(86400 * (1 + event_id % 5) AS INTEGER) AS ttl FROM events),
+    e AS (SELECT kind, key, max((moment, seq)) FILTER (op = 'write') AS w, max((moment, seq)) FILTER (op = 'delete') AS gone, (SELECT max(moment) FROM o) AS now FROM o GROUP BY 1, 2),
+    live AS (SELECT e.kind, e.key, o.value, o.ttl, o.moment, o.seq, now FROM e JOIN o ON o.seq = e.w[2] WHERE (gone IS NULL OR gone < w) AND now - o.moment <= o.ttl),
+    counted AS (SELECT live.kind, live.key, live.value, live.ttl, now - live.moment AS age, CAST(count(o.seq) AS INTEGER) AS access_count, now - greatest(live.moment, coalesce(max(o.moment), live.moment)) AS idle
+      FROM live LEFT JOIN o ON o.kind = live.kind AND o.key = live.key AND o.op = 'read' AND (o.moment, o.seq) > (live.moment, live.seq) AND o.moment <= live.moment + live.ttl GROUP BY live.kind, live.key, live.value, live.ttl, live.moment, now)""",
+    "counted", {"kind": None, "key": None, "value": None, "access_count": None, "ttl": None, "age": 3, "idle": 3},
+)
