@@ -28,6 +28,7 @@ BOUNDS = {
     "smote": "label in (0, 1) and `return` is not null and rsi between 0 and 100",
     "structured_chunks": "doc_id is not null and char_len between 1 and 1000 and length(file_hash) = 16",
     "risk_of_ruin": "p_ruin between 0 and 1 and p_dd50 <= p_dd30 and p5_final <= median_final and median_final <= p95_final and length(report) > 50",
+    "safe_fraction": "share between 0 and 1 and fraction > 0 and p_dd30 between 0 and 0.1",
     "signal_portfolio": "weight between 0 and 1 and stake <= 1500",
     "forest_classifier": "auc between 0.5 and 1 and brier between 0 and 0.25 and majority >= 0.5",
     "elastic_net_classifier": "auc between 0.5 and 1 and brier between 0 and 0.25",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,7 +52,7 @@ def blend(signal: Column, volatility: Column, rsi: Column, base: float = 0.5) ->
     return F.greatest(F.lit(0.05), F.least(F.lit(0.95), 0.4 * up + 0.3 * over_under(signal) + 0.3 * combined))
 
 
-def demo(spark: SparkSession) -> DataFrame:
-    """The functions over a small grid."""
-    g = spark.range(31).select(F.col("id").cast("int").alias("k"), F.explode(F.array(*[F.lit(x) for x in (0.0, 0.5, 2.5, 10.0)])).alias("mu"))
-    return g.select("k", "mu", poisson_pmf(F.col("k"), F.col("mu")).alias("pmf"), saturating(F.col("mu")).alias("saturating"), over_under(F.col("mu")).alias("over_under"), bounded(0.5, [F.col("k") * 0.01]).alias("bounded"))
+def applied(d: DataFrame) -> DataFrame:
+    """Rows (k, mu) with the functions' values."""
+    k, mu = F.col("k"), F.col("mu")
+    return d.withColumns({"pmf": poisson_pmf(k, mu), "saturating": saturating(mu), "over_under": over_under(mu), "bounded": bounded(0.5, [k * 0.01])})

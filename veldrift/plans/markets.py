@@ -202,8 +202,16 @@ R.table(
 )
 R.rows_only("risk_constrained_kelly", lambda s, d: staking.risk_constrained(rets(s, d), "bet_id", "league"))
 R.rows_only("cvar_drawdown", lambda s, d: staking.cvar_drawdown(rets(s, d), 0.02, "bet_id", resamples=50))
-R.rows_only("risk_of_ruin", lambda s, d: staking.ruin_report(staking.ruin(s, 0.55, 2.0, 0.05)))
-R.rows_only("safe_fraction", lambda s, d: staking.largest_safe_fraction(s, 0.55, 2.0, n_sims=2000))
+
+
+def usual_bet(s, d: str) -> tuple[float, float]:
+    """Mean probability and odds of all signalled bets."""
+    r = bets(s, d).filter("bet_signal").agg(F.avg("p_model").alias("p"), F.avg("odds_market").alias("odds")).first()
+    return r.p or 0.0, r.odds or 0.0
+
+
+R.rows_only("risk_of_ruin", lambda s, d: staking.ruin_report(staking.ruin(s, *usual_bet(s, d), 0.05)))
+R.rows_only("safe_fraction", lambda s, d: staking.largest_safe_fraction(s, *usual_bet(s, d), n_sims=2000))
 R.rows_only("signal_portfolio", lambda s, d: staking.signal_portfolio(first_day(s, d), 10_000.0))
 
 

@@ -9,7 +9,7 @@ from ..functions import probability
 from ..operators import evaluation as ev
 from ..operators import indicators as ind
 from ..operators import boosting, explain, learning, selection
-from .adapters import PROBS
+from .adapters import PROBS, table
 from .features import S, base, with_macro, with_sentiment
 from .markets import probs
 from .registry import Registry
@@ -143,9 +143,11 @@ R.table(
     "(SELECT 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS r2, avg(abs(y - p)) AS mae, corr(ry, rp) AS spearman FROM r)", {"r2": 5, "mae": 5, "spearman": 6},
 )
 R.table(
-    "probability_functions", lambda s, d: probability.demo(s), "g AS (SELECT CAST(k AS INTEGER) AS k, mu FROM (SELECT unnest(range(31)) AS k), (SELECT unnest([0.0, 0.5, 2.5, 10.0])::DOUBLE AS mu))",
-    "(SELECT k, mu, CASE WHEN mu <= 0 THEN CASE WHEN k = 0 THEN 1 ELSE 0 END ELSE exp(-mu + k * ln(mu) - lgamma(k + 1)) END AS pmf, 1 - exp(-mu * 0.8) AS saturating, 1 - exp(-mu / 0.03) AS over_under, greatest(0.05, least(0.95, 0.5 + 0.01 * k)) AS bounded FROM g)",
-    {"k": None, "mu": None, "pmf": 8, "saturating": 8, "over_under": 8, "bounded": 8},
+    "probability_functions",
+    lambda s, d: probability.applied(table(s, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("k"), (F.col("l_discount").cast("double") * 50).alias("mu")).agg(F.count(F.lit(1)).alias("n"))),
+    "g AS (SELECT CAST(l_linenumber AS INTEGER) AS k, l_discount::DOUBLE * 50 AS mu, count(*) AS n FROM lineitem GROUP BY 1, 2)",
+    "(SELECT k, mu, n, CASE WHEN mu <= 0 THEN CASE WHEN k = 0 THEN 1 ELSE 0 END ELSE exp(-mu + k * ln(mu) - lgamma(k + 1)) END AS pmf, 1 - exp(-mu * 0.8) AS saturating, 1 - exp(-mu / 0.03) AS over_under, greatest(0.05, least(0.95, 0.5 + 0.01 * k)) AS bounded FROM g)",
+    {"k": None, "mu": 6, "n": None, "pmf": 8, "saturating": 8, "over_under": 8, "bounded": 8},
 )
 
 # Models: seeds and algorithms decide the values, so only rows are compared.
