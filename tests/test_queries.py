@@ -22,6 +22,7 @@ def test_query_equals_its_sql(spark, con, name):
 #: Queries whose values depend on seeds or algorithms, with what their rows must hold.
 BOUNDS = {
     "shap_importance": "mean_abs_shap >= abs(mean_shap) - 1e-12 and mean_abs_shap between 0 and 1 and n > 0 and rank between 1 and 14",
+    "tpe_search": "auc between 0.3 and 1 and parameters like 'mix=%, reg=%'",
     "pooled_routing": "auc_own between 0 and 1 and auc_pool between 0 and 1 and (route = 'pool') = (auc_own < 0.55 and auc_pool > auc_own)",
     "efficient_frontier": "volatility > 0 and weight between 0 and 0.600000001 and abs(sharpe - target / volatility) < 1e-9",
     "boosted_by_leaves": "auc between 0.5 and 1 and brier between 0 and 0.25 and majority >= 0.5",

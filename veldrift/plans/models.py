@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import probability
 from ..operators import evaluation as ev
 from ..operators import indicators as ind
-from ..operators import boosting, explain, learning, selection
+from ..operators import boosting, explain, learning, selection, tuning
 from .adapters import PROBS, table
 from .features import S, base, with_macro, with_sentiment
 from .markets import probs
@@ -182,6 +182,7 @@ R.rows_only("smote", lambda s, d: learning.smote(learning.prepare(ind.add_labels
 R.rows_only("boosted_by_leaves", lambda s, d: boosting.scored(features(s, d), boosting.Settings(rounds=5, leaves=8, rate=0.2)))
 R.rows_only("shap_importance", lambda s, d: explain.forest_importance(features(s, d), trees=50))
 R.rows_only("hyperparameter_search", lambda s, d: learning.search(features(s, d), [{"reg": r, "mix": 0.0} for r in (0.01, 0.1, 1.0)], "elastic"))
+R.rows_only("tpe_search", lambda s, d: tuning.search(features(s, d), {"reg": tuning.Number(1e-3, 10, log=True), "mix": tuning.Number(0, 1)}, "elastic", trials=8, folds=2))
 R.rows_only("best_of_four", lambda s, d: selection.best_of(selection.candidates(with_news(s, d), rounds=20)))
 R.rows_only("model_inspection", lambda s, d: selection.inspected(features(s, d)))
 R.rows_only("latest_predictions", lambda s, d: selection.latest(features(s, d).unionByName(ind.add_labels(base(s, d)).filter("target is null"), allowMissingColumns=True), learning.routing(features(s, d))))
