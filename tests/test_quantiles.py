@@ -37,10 +37,11 @@ def test_ranks_equal_sorting(table, accuracy, exact):
 def test_percentiles_interpolate(spark, table):
     columns, d = table
     shares = [0.0, 0.1, 1 / 3, 0.5, 0.999, 1.0]
-    for accuracy, exact in ((10_000, 5_000), (200, 100)):
-        got = quantiles.percentiles(d, [F.col(c) for c in VALUES], shares, accuracy, exact)
+    for accuracy, exact, alone in ((10_000, 5_000, 0), (200, 100, 0), (10_000, 5_000, 10**6)):
+        got = quantiles.percentiles(d, [F.col(c) for c in VALUES], shares, accuracy, exact, alone)
         for c, g in zip(columns, got, strict=True):
             assert np.allclose(g, np.quantile([v for v in c if v == v], shares), rtol=1e-12)
     none = spark.createDataFrame([(None, 1)], "x double, y int")
-    assert quantiles.percentiles(none, [F.col("x"), F.col("y")], [0.25, 0.5]) == [[None, None], [1.0, 1.0]]
+    for alone in (0, 10**6):
+        assert quantiles.percentiles(none, [F.col("x"), F.col("y")], [0.25, 0.5], alone=alone) == [[None, None], [1.0, 1.0]]
     assert quantiles.percentiles(none.limit(0), [F.col("x")], [0.5]) == [[None]]

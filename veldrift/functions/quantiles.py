@@ -19,6 +19,8 @@ ACCURACY = 10_000
 EXACT = 5_000
 #: Columns of a sketch in one aggregation.
 AT_ONCE = 24
+#: Rows whose values of a column one task may hold; more are refined.
+ALONE = 1_000_000
 
 
 @dataclass
@@ -99,12 +101,16 @@ def _round(d: DataFrame, names: list[str], todo: list[Range], out: list[dict[int
     return rest
 
 
-def percentiles(df: DataFrame, columns: list[Column], shares: list[float], accuracy: int = ACCURACY, exact: int = EXACT) -> list[list[float | None]]:
+def percentiles(df: DataFrame, columns: list[Column], shares: list[float], accuracy: int = ACCURACY, exact: int = EXACT, alone: int = ALONE) -> list[list[float | None]]:
     """For each column the percentiles at ``shares``, between neighbouring values by a straight line; None without values.
 
-    The first round takes the numbers of values and one sketch for a column, which gives all of its first ranges."""
+    Up to ``alone`` rows the built-in percentile does the same in one pass. Beyond, the first round takes the numbers of values
+    and one sketch for a column, which gives all of its first ranges."""
     names = [f"_q{i}" for i in range(len(columns))]
     d = df.select(*[F.when(_is_number(c.cast("double")), c.cast("double")).alias(n) for c, n in zip(columns, names, strict=True)])
+    if d.limit(alone + 1).count() <= alone:
+        row = d.agg(*[F.percentile(n, F.array(*[F.lit(s) for s in shares])).alias(n) for n in names]).first()
+        return [row[n] or [None] * len(shares) for n in names]
     slack = 1 / accuracy + 3 / exact  # of the sketch, and of the two ranks beside a share
     around = F.array(*[F.lit(min(1.0, max(0.0, s + x))) for s in shares for x in (-slack, slack)])
     seen = d.agg(*[F.count(n).alias(f"n{n}") for n in names], *[F.percentile_approx(n, around, F.lit(accuracy)).alias(f"s{n}") for n in names]).first()
