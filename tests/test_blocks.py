@@ -46,7 +46,8 @@ def test_grid_finds_the_nearest(spark):
         assert {(r.i, r.j, r.n) for r in learning._neighbours(a, b, names, 5, all_pairs).collect()} == expected
 
 
-def test_smote_query_takes_all_rows(spark):
-    d = models.features(spark, SMALL).groupBy("label").count().collect()
+def test_smote_query_takes_all_training_rows(spark):
+    """All rows but the test's, under a label that few rows have."""
+    d = learning.prepare(models.ind.add_labels(models.base(spark, SMALL), rise=0.05)).filter("part <> 'test'").groupBy("label").count().collect()
     counts = sorted(r["count"] for r in d)
     assert models.R.queries["smote"](spark, SMALL).count() == counts[1] - counts[0]
