@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 import numpy as np
@@ -77,6 +78,20 @@ def test_bankroll_after_a_wipe_out(spark):
     np.testing.assert_allclose(got, [2000, 1e-12, 2e-12, 1e-12], rtol=1e-9)
 
 
+def test_bankroll_over_many_bets_keeps_its_digits(spark):
+    d = spark.range(200_000).selectExpr("'k' as k", "id as i", "if(id % 3 = 0, -0.7D, 0.4D + id % 7 / 13D) as ret")
+    logs = [math.log(1 + 0.01 * (-0.7 if i % 3 == 0 else 0.4 + i % 7 / 13)) for i in range(200_000)]
+    last = staking.trajectory(d, 0.01, "i", "k").orderBy(F.desc("i")).first()
+    assert abs(math.log(last.bankroll) - math.log(1000) - math.fsum(logs)) < 5e-13
+
+
+def test_logarithm_of_nothing_as_sql_has_it(spark):
+    from veldrift.plans.markets import _ln
+
+    d = spark.createDataFrame([(0.0,), (1.0,), (float("inf"),), (None,)], "x double")
+    assert [r[0] for r in d.select(_ln(F.col("x"))).collect()] == [-math.inf, 0.0, math.inf, None]
+
+
 def test_ruin_does_not_depend_on_partitions(spark):
     a = staking.ruin(spark, 0.5, 2.0, 0.2, n_sims=200, n_bets=50, parts=2).first()
     b = staking.ruin(spark, 0.5, 2.0, 0.2, n_sims=200, n_bets=50, parts=7).first()
