@@ -46,3 +46,12 @@ def test_filter_comes_first(spark, table):
 def test_nothing_to_index_is_refused(spark, table):
     with pytest.raises(ValueError):
         vector_index.build(table[0].filter("v is null"))
+
+
+def test_recall_without_clusters(spark):
+    """Vectors spread evenly: the neighbours of a query lie in many cells."""
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(4000, 24)))], "id long, v array<double>").repartition(4)
+    queries = d.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = vector_index.search(vector_index.build(d), queries, 10)
+    assert vector_index.recall(found, retrieval.vector_search(d, queries, 10)).first().recall >= 0.9
