@@ -110,7 +110,7 @@ def horizon_sweep(bars: DataFrame, scores: list[str], horizons: tuple[int, ...]
 
 def volatility_ablation(d: DataFrame, variants: dict[str, tuple[str, ...]], horizon: int = 10, trees: int = 200) -> DataFrame:
     """Metrics of the volatility forest with each set of features: (variant, r2, mae, spearman), beside persistence."""
-    out = None
+    d, out = written(d, "ablation"), None
     for name, names in variants.items():
         both = learning.volatility(d, horizon, trees, names)
         rows = both.filter("model = 'forest'").withColumn("variant", F.lit(name))
