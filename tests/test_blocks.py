@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veldrift.operators import learning, staking
@@ -51,3 +52,21 @@ def test_smote_query_takes_all_training_rows(spark):
     d = learning.prepare(models.ind.add_labels(models.base(spark, SMALL), rise=0.05)).filter("part <> 'test'").groupBy("label").count().collect()
     counts = sorted(r["count"] for r in d)
     assert models.R.queries["smote"](spark, SMALL).count() == counts[1] - counts[0]
+
+
+def test_growth_over_ranges_equals_runs_of_bets(spark):
+    """Bets that lose all, null and single ones, and a null key; each key is one series however it is dealt out."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(i), float(x)) for k in ("a", None, "b") for i, x in enumerate(rng.choice([1.1, -1.0, 0.3], 3000))]
+    rows += [("c", 0, -200.0), ("c", 1, 0.5), ("d", 0, None), ("e", 0, 0.1)]
+    d = spark.createDataFrame(rows, "league string, bet_id long, ret double").repartition(3)
+    got = {(r.league, r.fraction): (r.growth, r.max_drawdown) for r in staking.growth_and_drawdown(d, [0.01, 0.1], "bet_id", "league").collect()}
+    assert len(got) == 12
+    for k in ("a", None, "b", "c", "e"):
+        for f in (0.01, 0.1):
+            x = 1 + f * np.array([r[2] for r in rows if r[0] == k])
+            log = np.cumsum(np.log(x[x > 0]))
+            assert got[k, f][0] == (-1e20 if (x <= 0).any() else pytest.approx(log[-1] / len(x), abs=1e-12))
+            assert got[k, f][1] == pytest.approx((1 - np.exp(log - np.maximum(np.maximum.accumulate(log), 0))).max(), abs=1e-9)
+    plan = staking.growth_and_drawdown(d, [0.01], "bet_id", "league")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ret#" not in plan  # windows run over ranges, not over bets

@@ -82,3 +82,27 @@ def test_signal_portfolio_and_safe_share(spark):
     safe = staking.largest_safe_fraction(spark, 0.6, 2.0, n_sims=200, n_bets=50, steps=6).first()
     assert 0 < safe.share <= 1 and safe.p_dd30 <= 0.10
     assert staking.largest_safe_fraction(spark, 0.4, 2.0).first().share == 0.0
+
+
+def test_signal_portfolio_of_many_signals(spark):
+    """A thousand signals, unlike groups, one tiny edge that the cap holds: better than or as good as the optimiser on the
+    driver, and the conditions of the optimum hold."""
+    rng = np.random.default_rng(7)
+    for n, tiny in ((1000, False), (30, False), (30, True)):
+        e = 0.5 + 3 * rng.random(n)
+        if tiny:
+            e[0] = 0.001
+        g = rng.integers(0, 4, n)
+        rows = [(i, f"L{g[i]}", "2024-01-01", float(e[i]), True) for i in range(n)]
+        bets = spark.createDataFrame(rows, "bet_id long, league string, date string, ev double, bet_signal boolean")
+        got = {r.bet_id: r.weight for r in staking.signal_portfolio(bets, 1000.0).collect()}
+        w = np.array([got[i] for i in range(n)])
+        cap = max(0.4, 1 / n + 0.01)
+        assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and w.max() <= cap * (1 + 1e-8) and (w.max() > cap * (1 - 1e-9)) == tiny
+        sd = e / 1.5
+        cov = np.where(g[:, None] == g, 0.1, 0.0) * np.outer(sd, sd)
+        np.fill_diagonal(cov, sd * sd)
+        sharpe = lambda w: w @ e / np.sqrt(w @ cov @ w)  # noqa: E731, B023
+        for _ in range(200):  # no step towards other weights within the bounds is better
+            other = staking.project_simplex(w + rng.normal(size=n) * rng.choice([1e-4, 1e-2, 0.3]) / np.sqrt(n), cap)
+            assert sharpe(other) <= sharpe(w) + 1e-9
