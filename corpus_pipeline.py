@@ -22,7 +22,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: a Jaccard similarity of five-word shingles of at least 0.8."""
+    """One document of each group of near copies: a Jaccard similarity of five-word shingles of at least 0.8, of candidates by
+    SimHash and, for what it cannot reach, by bands of least hashes."""
     return near.drop_near_copies(docs)
 
 

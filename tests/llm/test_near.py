@@ -75,3 +75,13 @@ def test_null_and_shared_ids_join_no_groups(spark):
         kept = drop(frame(spark, rows)).collect()
         assert sorted(r.text for r in kept) == sorted(texts)
         assert sorted((r.doc_id for r in kept), key=str) == [7] * 5 + [None] * 7
+
+
+def test_fingerprints_link_copies_and_near_ones(spark):
+    """SimHash alone links the closest texts, and only those."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base), " ".join([*base[:-1], "new"]), *(" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(10)), "a b", "c d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(2)
+    got = {r.node: r.component for r in connected_components(near.links(rows, levels=0)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == components_of(texts) and max(got) == 2

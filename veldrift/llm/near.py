@@ -6,6 +6,10 @@ candidate counts only once its similarity, of whole shingle sets, is known. Pair
 the limit: by their numbers of shingles, or because of 120 least hashes fewer than 6 in 10 agree (at similarity 0.8 that
 has a chance of 1 in 10 million). Shingle sets are made for the rows of the other pairs only, by a second reading.
 
+First SimHash, as operator 8 has it but over five-word shingles: fingerprints of 64 bits, met through deletion variants at up
+to ``MAX_BITS`` different bits. Its links count once their similarity is known too. At similarity 0.8 about 10 bits differ, so
+the bands find what it cannot; members that SimHash has linked are one component from the start.
+
 1. A bucket's members are compared with its least one.
 2. A bucket of three or more members that are not one component then is searched in memory, from component to component
    over those not yet reached, which gives spanning links rather than all pairs. Buckets with the same members are one.
@@ -31,8 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, small_batches, stored
 from .simhash import keep_one, mix64, with_rows
+from .simhash import links as simhash_links
 
 BANDS, ROWS = 24, 5
+#: Bits in which linked fingerprints may differ.
+MAX_BITS = 4
 #: Odd factors and offsets of the least hashes.
 _rng = np.random.default_rng(42)
 FACTORS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,8 +90,17 @@ def _bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash: bit i is 1 if it is set in over half of the shingles' hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 200_000):
+        ones += np.unpackbits(hashes[k : k + 200_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _prints(shingle: int):
-    """mapInArrow: (row, text) to (row, n, print, bands): the shingles' number, a byte of each least hash, the band keys."""
+    """mapInArrow: (row, text) to (row, n, print, bands, fp): the shingles' number, a byte of each least hash, the band keys,
+    the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +111,9 @@ def _prints(shingle: int):
             keys = np.concatenate([bands(x) for x in least]).view(np.int64)
             ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
             n = np.array([len(s) for s in sets], np.int32)
+            fp = pa.array([fingerprint(s) for s in sets], pa.int64())
             marks = pa.array([(x >> np.uint64(56)).astype(np.uint8).tobytes() for x in least], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), marks, pa.ListArray.from_arrays(ends, pa.array(keys))], ["row", "n", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), marks, pa.ListArray.from_arrays(ends, pa.array(keys)), fp], ["row", "n", "print", "bands", "fp"])
 
     return run
 
@@ -204,12 +221,12 @@ def links(rows: DataFrame, shingle: int = 5, least: float = 0.8, crowded: int =
     """Links (a, b) that span the graph of rows (row, text) of a Jaccard similarity of at least ``least``.
 
     A bucket of more than ``crowded`` members or ``hashes`` shingles in all is keyed by another band, up to ``levels``, and
-    then dealt into blocks of about half that.
+    then dealt into blocks of about half that. Without levels only SimHash finds candidates.
     """
     spark = rows.sparkSession
     texts = rows.select("row", "text")
     with small_batches(spark, 2000):
-        prints = stored(texts.mapInArrow(_prints(shingle), "row long, n int, print binary, bands array<long>"), "prints")
+        prints = stored(texts.mapInArrow(_prints(shingle), "row long, n int, print binary, bands array<long>, fp long"), "prints")
     marks = prints.select("row", "print")
 
     def with_sets(pairs: DataFrame, *ends: str) -> DataFrame:
@@ -261,13 +278,24 @@ def links(rows: DataFrame, shingle: int = 5, least: float = 0.8, crowded: int =
         one = split.groupBy("m", "x", "y", same.alias("same")).agg(F.min(F.struct("key", "blocks")).alias("one"))
         return stored(labels.join(stored(one.select("one.*"), "split"), "key"), "open")
 
+    def by_fingerprint() -> DataFrame:
+        """Links of fingerprints between the least rows that have them, and of each row with the least of its fingerprint,
+        that are similar enough."""
+        first = stored(prints.groupBy("fp").agg(F.min("row").alias("first")), "fingerprints")
+        equal = prints.join(first, "fp").filter("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+        named = lambda end: first.select(F.col("fp").alias(f"fp_{end}"), F.col("first").alias(end))
+        linked = simhash_links(first.select("fp"), MAX_BITS).distinct().toDF("fp_a", "fp_b").join(named("a"), "fp_a").join(named("b"), "fp_b")
+        return checked(stored(equal.unionByName(linked.select("a", "b")), "simhash"))
+
     near = F.least("n", "c_n") >= least * F.greatest("n", "c_n")
     members = prints.select("row", "n", F.posexplode("bands").alias("band", "key"))
-    found = None
+    found = by_fingerprint()
+    if not levels:
+        return found
     for level in range(levels):
         buckets = buckets_of(members.select("key", "band", "row", "n"))
         pairs = checked(buckets.filter((F.col("row") != F.col("c")) & near).select(F.col("c").alias("a"), F.col("row").alias("b")).distinct())
-        found = pairs if found is None else stored(found.unionByName(pairs), "found")
+        found = stored(found.unionByName(pairs), "found")
         rest = open_buckets(buckets.filter("m > 2").select("key", "band", "row", "n"))
         more = searched(rest.filter("blocks = 1").select("key", "row", "label"))
         found = stored(found.unionByName(more), "found")
