@@ -48,3 +48,9 @@ def test_stream_equals_operations_one_by_one(spark, tmp_path):
     assert log.filter(F.col("change") == "written").count() == sum(r[2] == "write" for r in rows)
     # A replay of the whole log changes nothing.
     assert sorted(tuple(r) for r in store.entries(log.unionByName(log), now).collect()) == got
+
+
+def test_state_comes_with_the_rows(spark):
+    """No call to the state's server for each key: the plan has grouped state."""
+    stream = spark.readStream.schema(SCHEMA).parquet("/tmp")
+    assert "FlatMapGroupsInPandasWithState" in store.changes(stream)._jdf.queryExecution().logical().toString()

@@ -15,11 +15,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ENTRY = "scope string, value string, created double, accessed double, access_count int, ttl int, seq long"
 CHANGE = "kind string, key string, change string, changed double, scope string, value string, created double, accessed double, access_count int, ttl int, seq long"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def applied(entry: tuple | None, op: str, at: float, seq: int, scope: Any, value: Any, ttl: int) -> tuple[tuple | None, str | None]:
@@ -35,53 +34,38 @@ def applied(entry: tuple | None, op: str, at: float, seq: int, scope: Any, value
     return (*entry[:3], max(at, entry[3]), entry[4] + 1, entry[5], seq), "read"
 
 
-class Store(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", ENTRY)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = self.entry.get() if self.entry.exists() else None
-        entry = before = tuple(found) if found is not None else None
-        changes = []
-        ops = pd.concat(list(rows)).sort_values(["at", "seq"])
-        for op, at, seq, scope, value, ttl in zip(*(ops[c] for c in ("op", "at", "seq", "scope", "value", "ttl")), strict=True):
-            last = entry
-            entry, change = applied(entry, op, float(at), int(seq), scope, value, int(ttl))
-            if change:
-                changes.append((*key, change, float(at), *(entry or last)))
-        if before is not None and (entry is None or entry[2] + entry[5] != before[2] + before[5]):
-            self.handle.deleteTimer(self._over(before))
-        if entry is None:
-            self.entry.clear()
-        else:
-            self.entry.update(entry)
-            if before is None or entry[2] + entry[5] != before[2] + before[5]:
-                self.handle.registerTimer(self._over(entry))
-        yield pd.DataFrame(changes, columns=[c.split()[0] for c in CHANGE.split(", ")])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.entry.exists():
-            entry = tuple(self.entry.get())
-            self.entry.clear()
-            yield pd.DataFrame([(*key, "expired", entry[2] + entry[5], *entry)], columns=[c.split()[0] for c in CHANGE.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _over(entry: tuple) -> int:
-        """The first millisecond at which the entry is over its time."""
-        return int((entry[2] + entry[5]) * 1000) + 1
+COLUMNS = [c.split()[0] for c in CHANGE.split(", ")]
+
+
+def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The changes of one entry by its operations of a batch, or its end by the timer. State comes and goes with the rows."""
+    entry = tuple(state.get) if state.exists else None
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([(*key, "expired", entry[2] + entry[5], *entry)], columns=COLUMNS)
+        return
+    changes = []
+    ops = [r for f in frames for r in zip(*(f[c].tolist() for c in ("at", "seq", "op", "scope", "value", "ttl")), strict=True)]
+    for at, seq, op, scope, value, ttl in sorted(ops, key=lambda r: r[:2]):
+        last = entry
+        entry, change = applied(entry, op, float(at), int(seq), scope, value, int(ttl))
+        if change:
+            changes.append((*key, change, float(at), *(entry or last)))
+    if entry is not None:
+        state.update(entry)
+        # The first millisecond at which the entry is over its time; one that is over by now goes with the next batch.
+        state.setTimeoutTimestamp(max(int((entry[2] + entry[5]) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    if changes:
+        yield pd.DataFrame(changes, columns=COLUMNS)
 
 
 def changes(operations: DataFrame, late: str = "1 hour") -> DataFrame:
     """The stream of changes to the store by a stream of operations whose ``at`` is a timestamp."""
-    spark = operations.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the one that keeps timers
     rows = operations.withColumn("event_time", F.col("at")).withWatermark("event_time", late)
     rows = rows.withColumn("at", F.col("at").cast("timestamp").cast("double"))
-    return rows.groupBy("kind", "key").transformWithStateInPandas(Store(), CHANGE, "Append", "eventTime")
+    return rows.groupBy("kind", "key").applyInPandasWithState(step, CHANGE, ENTRY, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def entries(log: DataFrame, now: float | None = None) -> DataFrame:
